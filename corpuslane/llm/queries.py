@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslane.llm import cooccur, distinct_terms, leakage, mixture, neardup, spam, split_items, splits
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+from corpuslane.llm import cooccur, distinct_terms, leakage, mixture, names, neardup, spam, split_items, splits
+from corpuslane.session import table as _t
 
 
 # 1 -----------------------------------------------------------------------------------------------
@@ -80,6 +77,24 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return g.select(_named("node").alias("tbl"), *[F.shiftright(c, 1).alias(n) for c, n in (("node", "id"), ("class_id", "class_id"), ("rep", "copy_of"))], "n_links")
 
 
+# 4 -----------------------------------------------------------------------------------------------
+
+
+def _variants(spark: SparkSession, d: str, field: str) -> DataFrame:
+    used = names.spellings(_t(spark, d, "pubmed_abstracts"), field)
+    return names.link_persons(used) if field == "authors" else names.link_journals(used)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    a, j = (names.variant_pairs(_variants(spark, d, f)).select(F.lit(f).alias("field"), "name_a", "name_b") for f in ("authors", "journal"))
+    return a.unionByName(j)
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    a, j = (_variants(spark, d, f).select(F.lit(f).alias("field"), "name", "cluster") for f in ("authors", "journal"))
+    return a.unionByName(j)
+
+
 # 6 -----------------------------------------------------------------------------------------------
 
 WINDOW = 4
@@ -167,7 +182,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_groups, p6_found, p6_scores, p7_found, p7_splits,
+        p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_groups, p4_found, p4_clusters, p6_found, p6_scores, p7_found, p7_splits,
         p8_found, p8_spans, p9_mixture, p9_shares, p10_found,
     )
 }
