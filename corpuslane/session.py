@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +35,29 @@ def build_session(app: str = "corpuslane", master: str | None = None, **conf: st
     }
     for k, v in (base | conf).items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once per context, wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corpuslane_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="corpuslane-")) / "corpuslane_code.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    sc.addPyFile(str(path))
+    sc._corpuslane_shipped = True
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The Parquet table ``name`` of a data folder."""
+    ship(spark)
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -66,6 +90,7 @@ def _clean() -> None:
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once below the scratch root and return a scan of it; this cuts the lineage."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
