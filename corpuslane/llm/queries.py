@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslane.llm import cooccur, distinct_terms, leakage, mixture, names, neardup, spam, split_items, splits
+from corpuslane.llm import cooccur, distinct_terms, leakage, mixture, names, neardup, pii, spam, split_items, splits
 from corpuslane.session import table as _t
 
 
@@ -95,6 +95,24 @@ def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(j)
 
 
+# 5 -----------------------------------------------------------------------------------------------
+
+
+def _noted(spark: SparkSession, d: str) -> DataFrame:
+    a = _t(spark, d, "clinical_notes").select(F.lit("clinical_notes").alias("tbl"), F.col("row_id").alias("item_id"), "text")
+    b = _t(spark, d, "note_sections").select(F.lit("note_sections").alias("tbl"), F.col("section_id").alias("item_id"), "text")
+    return a.unionByName(b)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.with_details(_noted(spark, d), "text").select("tbl", "item_id", F.explode("details").alias("x"))
+    return found.select("tbl", "item_id", "x.kind", F.col("x.start_char").cast("bigint").alias("start_char"))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(_noted(spark, d), "text").select("tbl", "item_id", "redacted")
+
+
 # 6 -----------------------------------------------------------------------------------------------
 
 WINDOW = 4
@@ -182,7 +200,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_groups, p4_found, p4_clusters, p6_found, p6_scores, p7_found, p7_splits,
+        p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_groups, p4_found, p4_clusters, p5_found, p5_redacted, p6_found, p6_scores, p7_found, p7_splits,
         p8_found, p8_spans, p9_mixture, p9_shares, p10_found,
     )
 }
