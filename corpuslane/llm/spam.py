@@ -74,6 +74,18 @@ def _sentence(seg: str) -> bool:
     return f >= 0.12 * len(w) and len(set(w)) >= 0.7 * len(w)
 
 
+_ODD = re.compile(r"[|#\t<\[/;]|www\.|\d[.,]\d\d(?!\d)|SKU")
+
+
+def _plain(seg: str) -> bool:
+    """The common case of :func:`_sentence`, told without further patterns: a closed sentence of varied words."""
+    s = seg.rstrip()
+    if s[-1:] not in ".!?…" or _ODD.search(s):
+        return False
+    w = s.lower().split()
+    return 5 <= len(w) <= 60 and len(set(w)) >= 0.7 * len(w) and not _FUNCTION.isdisjoint(w)
+
+
 def _split(text: str) -> Iterator[tuple[int, int]]:
     at = 0
     for m in _SENTENCE_END.finditer(text):
@@ -93,13 +105,15 @@ def list_blocks(text: str) -> list[tuple[int, float, float, list[int]]]:
     out, run = [], []
     for a, b in [*_split(text), (len(text), len(text))]:
         seg = text[a:b]
-        if a < b and not seg.strip():
+        if a < b and seg.isspace():
             if run:
                 run.append(seg)
             continue
-        if a < b and not _exempt(seg) and not _sentence(seg):
+        if a < b and not _plain(seg) and not _exempt(seg) and not _sentence(seg):
             run.append(seg)
             continue
+        if not run:
+            continue
         block = "".join(run).rstrip()
         run = []
         w = _WORD.findall(block.lower())
