@@ -51,7 +51,7 @@ def _strip(c: Column) -> Column:
 def _slices(text: Column, bounds: Column, trim_next: bool) -> Column:
     """Bounds sorted by (end of header, order) to sections that run to the end of the next header, or to its start."""
     last = F.struct(F.length(text).alias("end"), F.lit(10**6).alias("ord"), F.lit("").alias("name"), F.length(text).alias("start"))
-    nxt = F.concat(F.slice(bounds, 2, 1_000_000), F.array(last))
+    nxt = F.slice(F.concat(F.slice(bounds, 2, 1_000_000), F.array(last)), 1, F.size(bounds))
     stop = "start" if trim_next else "end"
     return F.zip_with(
         bounds, nxt,
