@@ -265,11 +265,18 @@ def parse_journal(title: str) -> str:
 
 
 def journal_keys(norm: str) -> list[str]:
-    """Block keys of a title: first letters of its sorted words, and both ends of its letters."""
-    words = sorted(w for w in norm.split() if w not in _SMALL_WORDS)
-    squeezed = norm.replace(" ", "").removeprefix("the")
-    keys = {"i" + "".join(w[0] for w in words), "a" + squeezed[:9], "z" + squeezed[-9:]}
-    for k in range(len(words)):  # a slip in one word's first letter
+    """Block keys of a title: first letters and phonetic codes of its sorted words, and both ends of its letters.
+
+    Each phonetic key leaves out one word, where a slip may be; the ends, which begin after the first word,
+    find slips across two words.
+    """
+    content = [w for w in norm.split() if w not in _SMALL_WORDS]
+    if not content:
+        return [norm]
+    words = sorted(content)
+    head, rest = content[0], "".join(content[1:])
+    keys = {"i" + "".join(w[0] for w in words), f"a{head[0]}{rest[:8]}", f"z{head[0]}{rest[-9:]}"}
+    for k in range(len(words)):
         keys.add("p" + " ".join(phonetic(w)[:3] for j, w in enumerate(words) if j != k))
     return sorted(keys)
 
@@ -367,6 +374,7 @@ def link_persons(names: DataFrame) -> DataFrame:
         keys = ("surname", "given", "middle", "sure")
         return s.map(lambda x: [dict(zip(keys, r, strict=True)) for r in parse_person(x)])
 
+    names = names.where(F.col("name").isNotNull())
     r = materialize(names.select("name", "n", F.posexplode(parse("name")).alias("k", "r")).select("name", "n", "k", "r.*"), "readings")
     sure = r.where("sure")
     # in which order a name without a comma reads, is told by how the sure ones use its words
@@ -438,6 +446,7 @@ def link_journals(names: DataFrame) -> DataFrame:
     def compare(a: pd.Series, b: pd.Series, ca: pd.Series, cb: pd.Series) -> pd.Series:
         return pd.Series([compare_journals(*x) for x in zip(a, b, ca, cb, strict=True)], dtype="int32")
 
+    names = names.where(F.col("name").isNotNull())
     read = materialize(names.select("name", "n", parse("name").alias("node")).where("node != ''"), "journals")
     titles = read.select("node").distinct()
     words = titles.select("node", F.posexplode(F.split("node", " ")).alias("at", "w"))

@@ -1,0 +1,22 @@
+"""Every query of the package on the smallest tables, against its SQL where it has one."""
+
+import os
+
+import pytest
+
+from corpuslane.llm.queries import QUERIES
+from corpuslane.llm.sql import SQL
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_equals_sql(name, spark, duck, same_rows):
+    same_rows(QUERIES[name](spark, DATA), duck, SQL[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_runs(name, spark):
+    df = QUERIES[name](spark, DATA)
+    assert df.columns and df.count() >= 0
