@@ -53,7 +53,8 @@ def word_spans(text: str) -> list[tuple[int, int]]:
         out.append(f)
         at.extend([i] * len(f))
     at.append(len(text))
-    return [(at[m.start()], at[m.end() - 1] + 1) for m in _WORD.finditer("".join(out))]
+    # a word keeps the accents behind its last letter
+    return [(at[m.start()], max(at[m.end() - 1] + 1, at[m.end()])) for m in _WORD.finditer("".join(out))]
 
 
 class WaveletMatrix:
