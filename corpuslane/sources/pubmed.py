@@ -17,7 +17,7 @@ ARTICLE = (
 
 def _first(xml: Column, path: str) -> Column:
     """Text of the first element before any child, trimmed; null if empty."""
-    return F.nullif(F.trim(F.element_at(F.xpath(xml, F.lit(f"{path}/text()[1]")), 1)), F.lit(""))
+    return F.nullif(F.trim(F.get(F.xpath(xml, F.lit(f"{path}/text()[1]")), 0)), F.lit(""))
 
 
 def parse_articles(xml: DataFrame, column: str = "xml") -> DataFrame:
