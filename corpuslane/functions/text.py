@@ -67,8 +67,7 @@ def sentences_biomedical(text: Column) -> Column:
 
 def bm25_tokens(text: Column) -> Column:
     """Lower-cased words of 2 to 31 letters, digits or hyphens that begin with a letter, without stop words; repeats stay."""
-    stop = F.array(*[F.lit(w) for w in CLINICAL_STOPWORDS])
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z][a-z0-9\-]{1,30}\b"), F.lit(0)), lambda w: ~F.array_contains(stop, w))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z][a-z0-9\-]{1,30}\b"), F.lit(0)), lambda w: ~w.isin(*CLINICAL_STOPWORDS))
 
 
 def word_set(text: Column) -> Column:

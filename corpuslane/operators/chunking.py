@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslane.functions.text import sentences_biomedical, token_estimate
-from corpuslane.operators.embedding import cosine
+from corpuslane.operators.embedding import Provider, cosine
 
 _SENT = "array<struct<s:string,t:int>>"
 
@@ -81,28 +84,48 @@ def breakpoints(sents: DataFrame, key: str, pos: str, vec: str, percentile: floa
     return d.join(cut, key).withColumn("is_break", F.coalesce(F.col("sim") < F.col("_cut"), F.lit(False))).drop("_cut")
 
 
-def semantic_chunks(
-    docs: DataFrame, embed: Callable[[Column], Column], percentile: float = 85.0, max_tokens: int = 512, min_tokens: int = 50, overlap: int = 64
-) -> DataFrame:
+def _groups(sentences: Column, model: Provider, percentile: float) -> Column:
+    """The sentences of a document in groups that end where the next sentence differs most: array of arrays."""
+
+    @F.arrow_udf("array<array<string>>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            docs = [x or [] for x in b.to_pylist()]
+            flat = [s for x in docs for s in x]
+            v = model.encode(flat).astype(np.float64) if flat else np.empty((0, 1))
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-8)
+            out, at = [], 0
+            for x in docs:
+                u = v[at : at + len(x)]
+                at += len(x)
+                sim = (u[:-1] * u[1:]).sum(1)
+                ends = np.flatnonzero(sim < np.percentile(sim, 100 - percentile)) + 1 if len(sim) else []
+                edges = [0, *ends, len(x)]
+                out.append([x[i:j] for i, j in pairwise(edges) if j > i])
+            yield pa.array(out, pa.list_(pa.list_(pa.string())))
+
+    return cut(sentences)
+
+
+def semantic_chunks(docs: DataFrame, model: Provider, percentile: float = 85.0, max_tokens: int = 512, min_tokens: int = 50, overlap: int = 64) -> DataFrame:
     """Chunks of (doc_id, text) cut where neighbouring sentences differ most in meaning.
 
-    Documents under three sentences are chunked by sentences. Groups under ``min_tokens`` are dropped,
-    those over ``max_tokens`` are cut again by sentences. Result: doc_id, chunk_index, text, token_count.
+    A break is where the cosine of two neighbours is below the document's (100 - ``percentile``)th
+    percentile. Documents under three sentences are chunked by sentences. Groups under ``min_tokens`` are
+    dropped, those over ``max_tokens`` are cut again by sentences. Result: doc_id, chunk_index, text,
+    token_count. A document is cut where it lies: no shuffle.
     """
     d = docs.where(F.col("text").isNotNull()).withColumn("_s", sentences_biomedical(F.col("text")))
     few = sentence_chunks(d.where(F.size("_s") < 3).select("doc_id", "text"), max_tokens, overlap, min_tokens).select("doc_id", "chunk_index", "text")
-    s = d.where(F.size("_s") >= 3).select("doc_id", F.posexplode("_s").alias("pos", "s")).withColumn("v", embed(F.col("s")))
-    b = breakpoints(s, "doc_id", "pos", "v", percentile)
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    g = b.withColumn("grp", F.coalesce(F.sum(F.col("is_break").cast("int")).over(before), F.lit(0)))
-    parts = g.groupBy("doc_id", "grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("ss"))
-    parts = parts.withColumn("text", F.array_join("ss", " ")).withColumn("t", token_estimate(F.col("text"))).where(F.col("t") >= min_tokens)
-    whole = parts.where(F.col("t") <= max_tokens).select("doc_id", "grp", F.lit(0).alias("sub"), "text")
-    cut = parts.where(F.col("t") > max_tokens).select("doc_id", "grp", F.posexplode(_fold(F.col("ss"), max_tokens, overlap, min_tokens)).alias("sub", "c"))
-    rows = whole.unionByName(cut.select("doc_id", "grp", "sub", F.col("c.text").alias("text")))
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("grp", "sub")) - 1
-    out = rows.select("doc_id", order.alias("chunk_index"), "text").unionByName(few)
-    return out.withColumn("token_count", token_estimate(F.col("text")))
+    g = d.where(F.size("_s") >= 3).select("doc_id", _groups(F.col("_s"), model, percentile).alias("g"))
+
+    def pieces(ss: Column) -> Column:
+        whole = F.array_join(ss, " ")
+        again = F.transform(_fold(ss, max_tokens, overlap, min_tokens), lambda c: c["text"])
+        return F.when(token_estimate(whole) < min_tokens, F.array().cast("array<string>")).when(token_estimate(whole) <= max_tokens, F.array(whole)).otherwise(again)
+
+    rows = g.select("doc_id", F.posexplode(F.flatten(F.transform("g", pieces))).alias("chunk_index", "text"))
+    return rows.unionByName(few).withColumn("token_count", token_estimate(F.col("text")))
 
 
 def section_chunks(sections: DataFrame, chunk_size: int = 384, overlap: int = 48, min_chunk_size: int = 50) -> DataFrame:
@@ -118,14 +141,14 @@ def section_chunks(sections: DataFrame, chunk_size: int = 384, overlap: int = 48
     return c.withColumn("chunk_index", n).drop("_k")
 
 
-def chunk(docs: DataFrame, method: str = "sentence", embed: Callable[[Column], Column] | None = None, **options) -> DataFrame:
-    """Chunks by name of the method: ``sentence``, ``semantic`` (needs ``embed``) or ``section``."""
+def chunk(docs: DataFrame, method: str = "sentence", model: Provider | None = None, **options) -> DataFrame:
+    """Chunks by name of the method: ``sentence``, ``semantic`` (needs a ``model``) or ``section``."""
     if method == "sentence":
         return sentence_chunks(docs, **options)
     if method == "semantic":
-        if embed is None:
+        if model is None:
             raise ValueError("semantic chunking needs an embedder")
-        return semantic_chunks(docs, embed, **options)
+        return semantic_chunks(docs, model, **options)
     if method == "section":
         return section_chunks(docs, **options)
     raise ValueError(f"unknown method {method!r}")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpuslane.functions import text as tx
 from corpuslane.operators import benchmarks, chunking, deid, dense, embedding, generation, metrics, ner, relations, retrieval, sections, sparse, verification
 from corpuslane.plans import sql
-from corpuslane.session import materialize, scratch_root, table
+from corpuslane.session import materialize, scratch_root, spread, table
 from corpuslane.sources import files, pubmed
 from corpuslane.streaming import audit
 
@@ -36,7 +36,11 @@ def query(sql_text: str | None = None):
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", "text")
+    return spread(table(s, d, "documents").select("doc_id", "text"))
+
+
+def _notes(s: SparkSession, d: str, *cols: str) -> DataFrame:
+    return spread(table(s, d, "clinical_notes").select(*cols))
 
 
 def _questions(s: SparkSession, d: str) -> DataFrame:
@@ -62,14 +66,14 @@ def sentences_plain(s: SparkSession, d: str) -> DataFrame:
 
 @query(sql.SENTENCES_BIOMEDICAL)
 def sentences_biomedical(s: SparkSession, d: str) -> DataFrame:
-    n = table(s, d, "clinical_notes")
+    n = _notes(s, d, "row_id", "text")
     return n.select("row_id", F.posexplode(tx.sentences_biomedical(F.col("text"))).alias("pos", "sentence"))
 
 
 @query(sql.CLEAN_WHITESPACE)
 def clean_whitespace(s: SparkSession, d: str) -> DataFrame:
     t = tx.clean_whitespace(F.col("text"))
-    return table(s, d, "clinical_notes").select("row_id", F.md5(t).alias("hash"), F.length(t).alias("n_chars"))
+    return _notes(s, d, "row_id", "text").select("row_id", F.md5(t).alias("hash"), F.length(t).alias("n_chars"))
 
 
 # de-identification --------------------------------------------------------------------------------
@@ -77,20 +81,20 @@ def clean_whitespace(s: SparkSession, d: str) -> DataFrame:
 
 @query(sql.DEID_TEXT)
 def deid_text(s: SparkSession, d: str) -> DataFrame:
-    r = deid.deidentify(table(s, d, "clinical_notes").select("row_id", "text"), "text")
+    r = deid.deidentify(_notes(s, d, "row_id", "text"), "text")
     plain = F.regexp_replace(F.regexp_replace("deidentified", r"[^\x00-\x7F\p{L}\p{N}]", "~"), r"[^\x00-\x7F]", "_")
     return r.select("row_id", F.md5(plain).alias("hash"), "phi_count")
 
 
 @query(sql.DEID_AUDIT)
 def deid_audit_by_type(s: SparkSession, d: str) -> DataFrame:
-    return deid.audit(table(s, d, "clinical_notes"), "text")
+    return deid.audit(_notes(s, d, "text"), "text")
 
 
 @query(sql.PHI_RESIDUAL)
 def phi_residual(s: SparkSession, d: str) -> DataFrame:
     """Sections in which identifiers are left."""
-    return table(s, d, "note_sections").select("section_id", F.coalesce(deid.contains_phi(F.col("text")), F.lit(False)).alias("has_phi"))
+    return spread(table(s, d, "note_sections").select("section_id", "text")).select("section_id", F.coalesce(deid.contains_phi(F.col("text")), F.lit(False)).alias("has_phi"))
 
 
 # notes --------------------------------------------------------------------------------------------
@@ -117,20 +121,20 @@ def note_types(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def note_segments(s: SparkSession, d: str) -> DataFrame:
-    n = sections.clean_notes(table(s, d, "clinical_notes"), list(sections.SECTIONED))
+    n = sections.clean_notes(_notes(s, d, "row_id", "category", "iserror", "text"), list(sections.SECTIONED))
     e = n.select("row_id", F.posexplode(sections.segment(F.col("text"))).alias("ord", "s"))
     return e.select("row_id", "ord", "s.section_name", "s.start_char", "s.end_char", F.md5("s.text").alias("hash"))
 
 
 @query()
 def radiology_parse(s: SparkSession, d: str) -> DataFrame:
-    n = sections.clean_notes(table(s, d, "clinical_notes"), ["Radiology"]).withColumn("s", sections.radiology_sections(F.col("text")))
+    n = sections.clean_notes(_notes(s, d, "row_id", "category", "iserror", "text"), ["Radiology"]).withColumn("s", sections.radiology_sections(F.col("text")))
     return n.select("row_id", F.size("s").alias("n_sections"), F.length(sections.radiology_impression(F.col("s"))).alias("impression_chars"))
 
 
 @query()
 def note_documents(s: SparkSession, d: str) -> DataFrame:
-    n = sections.clean_notes(table(s, d, "clinical_notes"))
+    n = sections.clean_notes(_notes(s, d, "row_id", "category", "iserror", "text"))
     n = n.withColumn("sections", F.when(F.trim("category").isin(*sections.SECTIONED), sections.segment(F.col("text"))))
     return sections.note_documents(n).select("doc_id", "row_id", "section", "note_type", F.md5("text").alias("hash"))
 
@@ -147,7 +151,7 @@ def chunks_sentence(s: SparkSession, d: str) -> DataFrame:
 @query()
 def chunks_semantic(s: SparkSession, d: str) -> DataFrame:
     model = embedding.HashingProvider(16, False, "hashing-16")
-    c = chunking.semantic_chunks(_docs(s, d), lambda t: embedding.embed(t, model), 85.0, 128, 10, 24)
+    c = chunking.semantic_chunks(_docs(s, d), model, 85.0, 128, 10, 24)
     return c.select("doc_id", "chunk_index", "token_count", F.md5("text").alias("hash"))
 
 
@@ -323,7 +327,7 @@ def retrieval_metrics(s: SparkSession, d: str) -> DataFrame:
 
 @query(sql.BLEU)
 def bleu_corpus(s: SparkSession, d: str) -> DataFrame:
-    p = table(s, d, "pubmed_abstracts").select(F.col("rec_id").alias("id"), F.col("title").alias("hypothesis"), F.col("abstract").alias("reference"))
+    p = spread(table(s, d, "pubmed_abstracts").select(F.col("rec_id").alias("id"), F.col("title").alias("hypothesis"), F.col("abstract").alias("reference")))
     return metrics.bleu(p).select(F.round("bleu", 9).alias("bleu"), "n")
 
 
@@ -444,7 +448,7 @@ def _entities(s: SparkSession, d: str) -> DataFrame:
     terms = table(s, d, "pubmed_abstracts").select(F.explode("mesh_terms").alias("x"))
     term = F.trim(F.replace(F.split_part("x", F.lit("/"), F.lit(1)), F.lit("*"), F.lit("")))
     kind = F.when(F.lower(term).rlike("(?:in|ine|ab|ib|ex|tin)$"), "DRUG").when(F.lower(term).rlike("protein$"), "PROTEIN").otherwise("DISEASE")
-    return ner.gazetteer(table(s, d, "chunks").select(F.col("chunk_id").alias("doc_id"), "text"), terms.select(term.alias("term"), kind.alias("type")))
+    return ner.gazetteer(spread(table(s, d, "chunks").select(F.col("chunk_id").alias("doc_id"), "text")), terms.select(term.alias("term"), kind.alias("type")))
 
 
 @query()
@@ -468,7 +472,7 @@ def ner_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _abstracts(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "pubmed_abstracts").where("abstract is not null").select(F.col("rec_id").alias("doc_id"), F.col("abstract").alias("text"))
+    return spread(table(s, d, "pubmed_abstracts").where("abstract is not null").select(F.col("rec_id").alias("doc_id"), F.col("abstract").alias("text")))
 
 
 @query(sql.ddi())

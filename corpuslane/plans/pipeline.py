@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslane.functions.text import clean_whitespace
 from corpuslane.operators import benchmarks, chunking, deid, dense, embedding, generation, metrics, relations, retrieval, sections, sparse, verification
 from corpuslane.session import materialize
 from corpuslane.sources import files, pubmed
@@ -47,8 +48,6 @@ def ingest_articles(articles: DataFrame, s: Settings = Settings()) -> DataFrame:
 def ingest_notes(notes: DataFrame, s: Settings = Settings(), categories: list[str] | None = None, by_section: bool = True) -> DataFrame:
     """Chunks of notes: cleaned, de-identified, white space tidied, segmented (discharge and physician notes), chunked."""
     d = deid.deidentify(sections.clean_notes(notes, categories), "text")
-    from corpuslane.functions.text import clean_whitespace
-
     d = d.select("row_id", "category", "chartdate", clean_whitespace(F.col("deidentified")).alias("text"))
     cut = F.trim("category").isin(*sections.SECTIONED) if by_section else F.lit(False)
     d = d.withColumn("sections", F.when(cut, sections.segment(F.col("text"))))
@@ -58,8 +57,7 @@ def ingest_notes(notes: DataFrame, s: Settings = Settings(), categories: list[st
 
 def _chunks(docs: DataFrame, s: Settings) -> DataFrame:
     if s.method == "semantic":
-        model = embedding.provider(s.provider)
-        c = chunking.semantic_chunks(docs, lambda t: embedding.embed(t, model), max_tokens=s.chunk_size, min_tokens=s.min_chunk_size, overlap=s.overlap)
+        c = chunking.semantic_chunks(docs, embedding.provider(s.provider), max_tokens=s.chunk_size, min_tokens=s.min_chunk_size, overlap=s.overlap)
         return c.withColumn("chunk_id", F.concat_ws("_chunk_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
     return chunking.sentence_chunks(docs, s.chunk_size, s.overlap, s.min_chunk_size)
 

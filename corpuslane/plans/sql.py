@@ -211,7 +211,7 @@ FAITHFULNESS = rf"""with {_EVIDENCE}, cl as {_claims('item_id', 'passage', 'eval
 
 def _relation(rules: tuple, lower: bool) -> str:
     out = []
-    for p, s, o, kind, conf in rules:
+    for p, s, o, kind, conf, _ in rules:
         rx = q("(?i)" + p)
         low = "lower" if lower else ""
         out.append(

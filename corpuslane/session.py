@@ -60,6 +60,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it comes in fewer partitions than there are, as small single files do; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir``, or a temporary one in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None)

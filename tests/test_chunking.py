@@ -67,16 +67,36 @@ def test_breakpoints_equal_numpy(spark):
         assert np.allclose([r["sim"] for r in mine[:-1]], sim) and [r["is_break"] for r in mine] == [*(sim < cut), False]
 
 
-def test_semantic_and_section_chunks(spark):
+def test_semantic_chunks_equal_brute_force(spark):
     d = documents(spark)
     m = embedding.HashingProvider(8, False, "hashing-8")
-    c = chunking.semantic_chunks(d, lambda t: embedding.embed(t, m), 85.0, 60, 10, 20)
-    rows = c.orderBy("doc_id", "chunk_index").collect()
-    assert rows and all(10 <= r["token_count"] for r in rows)
-    by = {}
-    for r in rows:
-        assert r["chunk_index"] == by.get(r["doc_id"], -1) + 1
-        by[r["doc_id"]] = r["chunk_index"]
+    sents = {r["doc_id"]: (r["s"] or []) for r in d.select("doc_id", sentences_biomedical(F.col("text")).alias("s")).collect()}
+    want = {}
+    for k, s in sents.items():
+        if len(s) < 3:
+            want[k] = brute(s, 60, 20, 10)
+            continue
+        v = m.encode(s).astype(float)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-8)
+        sim = (v[:-1] * v[1:]).sum(1)
+        cut = np.percentile(sim, 15)
+        groups = [[s[0]]]
+        for i, x in enumerate(s[1:]):
+            if sim[i] < cut:
+                groups.append([])
+            groups[-1].append(x)
+        want[k] = []
+        for g in groups:
+            n = tokens(" ".join(g))
+            want[k] += [] if n < 10 else [" ".join(g)] if n <= 60 else brute(g, 60, 20, 10)
+    got = {}
+    for r in chunking.semantic_chunks(d, m, 85.0, 60, 10, 20).orderBy("doc_id", "chunk_index").collect():
+        assert r["chunk_index"] == len(got.setdefault(r["doc_id"], [])) and r["token_count"] == tokens(r["text"])
+        got[r["doc_id"]].append(r["text"])
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_section_chunks(spark):
     s = spark.createDataFrame([(1, 0, "plan", "One two three. " * 20), (1, 1, "plan", "Four five six. " * 20), (2, 0, None, "x")], "doc_id int, ord int, section_name string, text string")
     out = chunking.section_chunks(s, 30, 6, 5).orderBy("doc_id", "chunk_index").collect()
     assert [r["chunk_index"] for r in out] == list(range(len(out))) and {r["ord"] for r in out} == {0, 1}
