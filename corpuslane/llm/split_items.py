@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 WORD = r"[^ \t\r\n]+"
 _WORD = re.compile(WORD)
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
+_LINE = re.compile(r"\n")
+#: A mark at the end of a word, perhaps before a closing quote or bracket.
+_STOP = re.compile(r"[.!?…][\"')\]”’»]?(?=[ \t\r\n])")
+_CLAUSE = re.compile(r"[,;:][\"')\]”’»]?(?=[ \t\r\n])")
 _ABBREVIATION = re.compile(
     r"(?:^|[(\[])(?:dr|mr|mrs|ms|prof|st|vs|e\.g|i\.e|etc|al|fig|no|incl|approx|dept|pt|resp|cf|z\.b|bzw|sr|sra|mme|[a-z])\.$",
     re.I,
@@ -58,19 +62,24 @@ def boundary_kinds(text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     """For each word the index into ``KINDS`` of the boundary after it."""
     n = len(starts)
     kinds = np.full(n, 4, dtype=np.int8)
-    for i in range(n - 1):
-        last = text[ends[i] - 1]
-        if last in "\"')]”’»" and ends[i] - starts[i] > 1:
-            last = text[ends[i] - 2]
-        gap = text[ends[i] : starts[i + 1]]
-        if "\n" in gap and _PARAGRAPH.search(gap):
-            kinds[i] = 0
-        elif last in ".!?…" and not text[starts[i + 1]].islower() and not _ABBREVIATION.search(text[starts[i] : ends[i]]):
-            kinds[i] = 1
-        elif "\n" in gap:
-            kinds[i] = 2
-        elif last in ",;:":
-            kinds[i] = 3
+
+    def after(pattern: re.Pattern) -> np.ndarray:
+        """The words that end where a match begins or, for marks inside words, ends."""
+        at = np.array([m.end() for m in pattern.finditer(text)], dtype=np.int64)
+        i = np.searchsorted(ends, at)
+        i = np.minimum(i, n - 1)
+        return i[ends[i] == at]
+
+    kinds[after(_CLAUSE)] = 3
+    gaps = np.array([m.start() for m in _LINE.finditer(text)], dtype=np.int64)
+    i = np.searchsorted(ends, gaps, side="right") - 1
+    kinds[i[i >= 0]] = 2
+    for k in after(_STOP).tolist():
+        if k < n - 1 and not text[starts[k + 1]].islower() and not _ABBREVIATION.search(text[starts[k] : ends[k]]):
+            kinds[k] = 1
+    gaps = np.array([m.start() for m in _PARAGRAPH.finditer(text)], dtype=np.int64)
+    i = np.searchsorted(ends, gaps, side="right") - 1
+    kinds[i[i >= 0]] = 0
     kinds[n - 1] = 5
     return kinds
 
@@ -96,23 +105,24 @@ def plan_cuts(kinds: np.ndarray, p: SplitParams) -> list[tuple[int, int]]:
     first = np.searchsorted(strong, np.maximum(cand - lap, 0), side="left")
     begin = np.where(strong[first] < cand, strong[first], np.maximum(cand - lap, 0))
     begin[0] = 0
-    begin = np.minimum(begin, np.maximum(cand - 0, 0))
     begin = np.maximum.accumulate(begin)
     pieces = math.ceil((n - lap) / step)
     even = (n + (pieces - 1) * lap) / pieces
     cost = np.full(len(cand), np.inf)
     cost[0] = 0.0
     back = np.zeros(len(cand), dtype=np.int64)
-    pen = np.concatenate(([0.0], PENALTY[kinds[cand[1:] - 1]]))
-    pen[-1] = 0.0
-    for j in range(1, len(cand)):
-        lo = int(np.searchsorted(begin[:j], cand[j] - most, side="left"))
-        if lo >= j:
+    pen = np.concatenate(([0.0], PENALTY[kinds[cand[1:] - 1]])) + 1e-6
+    pen[-1] = 1e-6
+    unbalance = p.balance * ((np.arange(most + 1) - even) / even) ** 2  # by size
+    lows = np.searchsorted(begin, cand - most, side="left").tolist()
+    for j, e in enumerate(cand.tolist()):
+        lo = lows[j]
+        if not j or lo >= j:
             continue
-        size = cand[j] - begin[lo:j]
-        c = cost[lo:j] + p.balance * ((size - even) / even) ** 2
-        k = int(np.argmin(c))
-        cost[j] = c[k] + pen[j] + 1e-6
+        c = unbalance[e - begin[lo:j]]
+        c += cost[lo:j]
+        k = int(c.argmin())
+        cost[j] = c[k] + pen[j]
         back[j] = lo + k
     out, j = [], len(cand) - 1
     while j > 0:
