@@ -29,7 +29,7 @@ _MARK = re.compile(r"\{(\w+)\|([^}]*)\}")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 N = len(LABELS)
 #: Distances at which a token adds to a score.
-REACH = range(-4, 5)
+REACH = range(-3, 4)
 #: Tokens whose scores a task keeps at hand.
 CACHE = 100_000
 #: Texts and tokens that are decoded at a time.
