@@ -42,8 +42,8 @@ _FUNCTION = frozenset(
     el los las del y en con por para una un se que su al fue es son como más""".split()
 )
 
-#: Shares that decide; see :func:`spam_pages`.
-DENSE, VARIED, REPLICATED = 0.5, 0.5, 0.5
+#: What decides; see :func:`page_evidence`.
+DENSE, VARIED, STITCHED = 0.5, 0.6, 0.75
 
 _BLOCKS = "doc_id bigint, host string, n_chars int, chars int, dense double, variety double, phrases array<bigint>"
 
@@ -56,12 +56,17 @@ def _exempt(line: str) -> bool:
         return True
     if _PRODUCT.search(line) or _LINK.search(line) or _TAG.search(line):
         return False
-    return bool(_DOSE.search(line) or _GLOSSARY.match(line))
+    return bool(_DOSE.search(line) or line.count(" - ") < 2 and _GLOSSARY.match(line))
 
 
 def _sentence(seg: str) -> bool:
     """Whether a stretch without inner sentence ends reads like a sentence."""
     w = _WORD.findall(seg.lower())
+    if "http" in seg or "www." in seg:
+        # a sentence that names a source
+        own = _WORD.findall(_LINK.sub(" ", seg).lower())
+        if len(own) >= 4 and seg.rstrip()[-1:] in ".!?…" and len(set(own)) >= 0.8 * len(own) and not _FUNCTION.isdisjoint(own):
+            return True
     if len(w) < 4 or _LINK.search(seg) and len(_LINK.sub("", seg)) < len(seg) / 2 or len(_TAG.findall(seg)) * 3 > len(w):
         return False
     if len(_PRODUCT.findall(seg)) * 8 > len(w) or seg.count("|") * 4 > len(w) or seg.count(";") * 5 > len(w) or seg.count("/") * 4 > len(w):
@@ -71,7 +76,8 @@ def _sentence(seg: str) -> bool:
     f = sum(x in _FUNCTION for x in w)
     if seg.rstrip()[-1:] in ".!?…" and len(w) >= 5 and f:
         return True
-    return f >= 0.12 * len(w) and len(set(w)) >= 0.7 * len(w)
+    # headlines have no stop at their end, but more words than entries of a list
+    return len(w) >= 8 and f >= 0.12 * len(w) and len(set(w)) >= 0.7 * len(w)
 
 
 _ODD = re.compile(r"[|#\t<\[/;]|www\.|\d[.,]\d\d(?!\d)|SKU")
@@ -156,9 +162,10 @@ def phrase_blocks(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFra
 def page_evidence(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """(doc_id, n_chars, list_chars, spam_chars, replicated, spam) for each page that has a list-like block.
 
-    A block counts as spam if at least ``DENSE`` of it is links, tags and product items, or if its words
-    vary little (distinct words at most ``VARIED`` of all) and at least ``REPLICATED`` of its phrases
-    occur on another host too, or if both hold half-way. A page is spam when more than half of its
+    A block counts as spam if at least ``DENSE`` of it is links, tags and product items, or if it is
+    stitched from phrases: its words vary little (distinct words at most ``VARIED`` of all) and the share of
+    its words that repeat others plus the share of its phrases that occur on another host reach
+    ``STITCHED``; or if the two kinds of evidence add up. A page is spam when more than half of its
     characters lie in spam blocks. Null and empty texts give no row, null hosts count as one host, and
     rows that repeat a doc_id are judged together.
     """
@@ -166,7 +173,7 @@ def page_evidence(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     b = materialize(b, "blocks")
     flat = b.select("doc_id", "block", "host", F.explode("phrases").alias("phrase"))
     freq = materialize(
-        flat.groupBy("phrase").agg(F.count("*").alias("rows"), F.min("host").alias("h0"), F.max("host").alias("h1"), F.countDistinct("host").alias("hosts")).drop("h0", "h1"),
+        flat.groupBy("phrase").agg(F.count("*").alias("rows"), F.countDistinct("host").alias("hosts")),
         "phrase-hosts",
     )
     total = freq.agg(F.sum("rows")).first()[0] or 0
@@ -178,10 +185,10 @@ def page_evidence(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     )
     share = known.groupBy("block").agg(F.avg((F.col("hosts") > 1).cast("int")).alias("replicated"))
     j = b.drop("phrases").join(share, "block")
-    stuffed = (F.col("variety") <= VARIED) & (F.col("replicated") >= REPLICATED)
-    mixed = F.col("dense") / DENSE + F.col("replicated") + (1 - F.col("variety")) >= 2
-    repeated = F.col("variety") <= VARIED / 2
-    j = j.withColumn("is_spam", (F.col("dense") >= DENSE) | stuffed | mixed | repeated)
+    repeated = 1 - F.col("variety")
+    stitched = (F.col("variety") <= VARIED) & (repeated + F.col("replicated") >= STITCHED)
+    together = F.col("dense") / DENSE + repeated + F.col("replicated") >= 2
+    j = j.withColumn("is_spam", (F.col("dense") >= DENSE) | stitched | together)
     return (
         j.groupBy("doc_id")
         .agg(

@@ -10,6 +10,8 @@ SPAM = {
     4: "\n".join(f"pill{i} 20 mg tabs SKU{10000 + i} {i}.99" for i in range(30)),
     5: "\n".join(f"http://www.site-{i}.example/x/{i}" for i in range(30)),
     6: "Kaufen Pillen günstig " * 40,
+    8: " - ".join(f"Top 100 cheap Contact pill{i % 3}" for i in range(30)),
+    9: "\n".join(f"{a} en ligne {b} pillule" for a in ("Shop", "Home", "News", "Forum") for b in ("Top 100", "Offers", "Archive")),
     7: " ".join(f'<a href="https://site.test/p{i}">offer pill{i}</a>' for i in range(20)),
 }
 FINE = {
@@ -18,6 +20,7 @@ FINE = {
     23: "Test\tResult\tUnit\tRange\n" + "\n".join(f"glucose\t{i}.1\tmg\t1-9" for i in range(25)),
     24: "References\n" + "\n".join(f"{i}. Smith A, Jones B. A study of many things in people. 20{10 + i % 10};{i}:{i}12. https://doi.example/10.5555/{i}" for i in range(1, 25)),
     25: "\n".join(f"Term{i}: a word that is used by doctors for condition number {i}" for i in range(20)),
+    29: "Further reading\n" + "\n".join(f"Another study of number {i} was seen as the best of its year. See https://library.example/pain/{i} for the full report." for i in range(20)),
     26: "", 27: "  \n\n ", 28: "Home | News | Shop\n" + PROSE,
 }
 
