@@ -129,7 +129,9 @@ RARER = 4
 
 def _slip(a: str, b: str, na: int, nb: int) -> bool:
     """Whether one spelling is a slip of the other; na, nb: with how many partners each occurs."""
-    if len(a) < 3 or len(b) < 3 or jaro_winkler(a, b) < LEAST_JW or not one_slip(a, b):
+    if len(a) < 3 or len(b) < 3 or not one_slip(a, b):
+        return False
+    if max(len(a), len(b)) > 4 and jaro_winkler(a, b) < LEAST_JW:  # in shorter words one slip is too much for it
         return False
     return min(na, nb) < ESTABLISHED or min(na, nb) * RARER <= max(na, nb)
 
@@ -157,7 +159,8 @@ def parse_person(name: str) -> list[tuple[str, str, str, bool]]:
         if not tokens:
             return "", ""
         first, rest = tokens[0], tokens[1:]
-        if len(tokens) == 1 and 2 <= len(first) <= 3 and written.strip().isupper() and not any(c in "aeiouy" for c in first[1:]):
+        w = written.strip()
+        if len(tokens) == 1 and w.isupper() and not name.isupper() and (len(first) == 2 or len(first) == 3 and not any(c in "aeiouy" for c in first[1:])):
             return first[0], first[1:]  # initials written together
         return first, "".join(x[0] for x in rest)
 
@@ -168,7 +171,9 @@ def parse_person(name: str) -> list[tuple[str, str, str, bool]]:
     words = parts[keep[0]].split()
     written = raw[keep[0]].split() if len(raw) > keep[0] else words
     toks = [(_TOKEN.findall(w), x) for w, x in zip(words, written, strict=False)]
-    toks = [(t, x) for t, x in toks if t and not all(y in _DEGREES for y in t)]
+    toks = [(t, x) for t, x in toks if t]
+    if len(toks) > 2:  # of two words the second is no degree but initials
+        toks = [(t, x) for t, x in toks if not all(y in _DEGREES for y in t)]
     if len(toks) == 1:
         return [(" ".join(sorted(toks[0][0])), "", "", True)]
 
@@ -207,6 +212,8 @@ def person_keys(surname: str, given: str) -> list[str]:
     squeezed = surname.replace(" ", "")
     firsts = {g[:1] for g in full_names(given)}
     keys = {f"{x}|{k}" for x in firsts for k in ("c" + code, "a" + squeezed[:4], "z" + squeezed[-4:])}
+    if " " in surname:
+        keys |= {f"{x}|t{phonetic(t)}" for x in firsts for t in surname.split()}
     if len(given) > 2:
         keys |= {f"{code}|{given[-3:]}", f"{squeezed[:4]}{squeezed[-4:]}|{phonetic(given)[1:]}"}
     return sorted(keys)
@@ -219,13 +226,17 @@ def compare_persons(s1: str, g1: str, m1: str, ns1: int, ng1: int, s2: str, g2:
     """0: different persons; else 10 x rank + kind, where a smaller rank is a better fit.
 
     Kinds: the same person; the first or second is an initial that fits the other; the first or second is
-    a slip of the other. ns: given names with which the surname occurs, ng: surnames with which the
+    a slip or a short form of the other. ns: given names with which the surname occurs, ng: surnames with which the
     given name occurs; the one with fewer is the slip.
     """
     if not g1 or not g2 or m1 and m2 and m1[0] != m2[0]:
         return 0
     a, b = s1.replace(" ", ""), s2.replace(" ", "")
     slip = a != b
+    if slip and " " in s1 and " " in s2:
+        # of double surnames only the words that differ are compared
+        x, y = s1.split(), s2.split()
+        a, b = "".join(t for t in x if t not in y), "".join(t for t in y if t not in x)
     if slip and not _slip(a, b, ns1, ns2):
         return 0
     i1, i2 = len(g1) == 1, len(g2) == 1
@@ -235,17 +246,19 @@ def compare_persons(s1: str, g1: str, m1: str, ns1: int, ng1: int, s2: str, g2:
         f, i = (g2, g1) if i1 else (g1, g2)
         if not any(x[0] == i for x in full_names(f)):
             return 0
-        return (FIRST_INITIAL if i1 else SECOND_INITIAL) + 10 * slip
-    alike = g1 == g2 or bool(full_names(g1) & full_names(g2))
-    if alike and not slip:
+        return (FIRST_INITIAL if i1 else SECOND_INITIAL) + 10 * slip + 20 * (f[0] != i)
+    if g1 == g2 and not slip:
         return SAME
     if slip and g1 == g2:
-        first, jw = (ns1, s1) <= (ns2, s2), jaro_winkler(a, b)
+        first, rank = (ns1, s1) <= (ns2, s2), 1000 * (1 - jaro_winkler(a, b))
+    elif not slip and full_names(g1) & full_names(g2):
+        # a short form may stand for several names, so it has to fit one only
+        first, rank = (g2 in full_names(g1), g1 < g2) > (g1 in full_names(g2), g2 < g1), 0
     elif not slip and _slip(g1, g2, ng1, ng2):
-        first, jw = (ng1, g1) <= (ng2, g2), jaro_winkler(g1, g2)
+        first, rank = (ng1, g1) <= (ng2, g2), 1000 * (1 - jaro_winkler(g1, g2))
     else:
         return 0
-    return (FIRST_SLIP if first else SECOND_SLIP) + 10 * round((1 - jw) * 1000)
+    return (FIRST_SLIP if first else SECOND_SLIP) + 10 * round(rank)
 
 
 # journals ----------------------------------------------------------------------------------------
