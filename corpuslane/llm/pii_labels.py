@@ -17,6 +17,7 @@ _LIST = {
     "mid": [f"{g} {m}. {s}" for g, m, s in zip(_GIVEN[9:], "TRDEVGWFKNPSHJ", _SURNAME[3:], strict=False)],
     "init": [f"{g[0]}. {s}" for g, s in zip(_GIVEN[2:], _SURNAME[1:], strict=False)],
     "turned": [f"{s}, {g}" for g, s in zip(_GIVEN[4:], _SURNAME[2:], strict=False)],
+    "plain": [f"{g} {s}".lower() for g, s in zip(_GIVEN[7:], _SURNAME[4:], strict=False)],
     "given": _GIVEN,
     "surname": _SURNAME,
     "email": [
@@ -37,21 +38,22 @@ _LIST = {
     "address": [
         "48 Harrowgate Street, Millbrook", "1207 Sandorvik Lane, Easterby Cove", "P.O. Box 315, Tarnholm", "93 Wickerlund Ave., Stonely", "2210B Orlagart Road, Apt 7, Millbrook",
         "614 rue Delamarque, Tarnholm", "Birkenauweg 77, Easterby Cove", "350 Pellowick Close", "1811 Fernadale Crescent, Stonely", "27 okavornal rd", "902 Tilverund St", "P.O. Box 2044, Easterby Cove on Sea",
-        "1550 Marlapenn Crescent", "rue Ostrevale 18, Tarnholm", "Lindenkampweg 1204, Millbrook", "76C Veskalott Road, Apt 12, Stonely", "5 Glavidunn Lane", "419 Röstigart Street, Tarnholm", "P.O. Box 880, Stonely", "1033 navorimm close",
+        "1550 Marlapenn Crescent", "rue Ostrevale 18, Tarnholm", "Lindenkampweg 1204, Millbrook", "76C Veskalott Road, Apt 12, Stonely", "5 Glavidunn Lane", "419 Röstigart Street, Tarnholm", "P.O. Box 880, Stonely", "1033 navorimm close", "61 tevarixen avenue", "1420 ostigrand lane", "8 Marrelivant Blvd, Apt 3, Easterby Cove", "742A Sovandrel Avenue, Apt 21, Easterby Cove",
+        "333 vikadorn street, tarnholm", "Ahornstegweg 58, Easterby Cove",
     ],
 }
 _KIND = {
-    "full": "name", "mid": "name", "init": "name", "turned": "name", "given": "name", "surname": "name", "email": "email", "phone": "phone",
+    "full": "name", "plain": "name", "mid": "name", "init": "name", "turned": "name", "given": "name", "surname": "name", "email": "email", "phone": "phone",
     "ssn": "id_number", "mrn": "id_number", "dashed": "id_number", "member": "id_number", "passport": "id_number", "address": "address",
 }
 
 #: Sentences with details, and how often each is filled.
 CARRIERS = [
-    ("Seen by Dr. {surname} after lunch.", 8), ("Seen by Dr. {surname} during rounds.", 4), ("Referred by {mid} for spirometry.", 8), ("Referred by {mid} for logistic regression.", 4),
+    ("Seen by Dr. {surname} after lunch.", 14), ("Seen by Dr. {surname} during rounds.", 4), ("Referred by {mid} for spirometry.", 8), ("Referred by {mid} for logistic regression.", 4),
     ("Discussed with {init} RN in the ward.", 8), ("Discussed with {init} RN in the dayroom.", 4), ("{full} (brother) will collect belongings.", 8), ("{full} (sister) took the keys.", 4),
     ("Wife {given} at bedside, anxious.", 8), ("Husband {given} at bedside, calm.", 4), ("Mrs {surname} asked about the tablets again.", 6), ("Mr {surname} asked about norvastin again.", 4), ("Ms {surname} rang twice.", 2),
-    ("Name: {turned} - identity band checked.", 8), ("PATIENT: {turned}", 6), ("Patient name: {full}", 3), ("Electronically signed by {full}, MD", 8), ("Dictated by {full}, MD", 3), ("Patient {full} agreed.", 3), ("Son {given} visited.", 3), ("Nurse {surname} informed.", 3),
-    ("Spoke to {full} about discharge.", 3), ("Cc: Dr. {full}", 2), ("Attending: {full}", 3), ("Daughter {given} called.", 2), ("Prof. {surname} agrees.", 2), ("{full} (friend) will drive.", 2),
+    ("Name: {turned} - identity band checked.", 8), ("PATIENT: {turned}", 16), ("Patient name: {full}", 3), ("Electronically signed by {full}, MD", 8), ("Dictated by {full}, MD", 3), ("Patient {full} agreed.", 3), ("Son {given} visited.", 3), ("Nurse {surname} informed.", 3),
+    ("Spoke to {full} about discharge.", 3), ("Spoke w/ {plain} re: goals of care.", 10), ("Spoke w/ {full} re: goals of care.", 5), ("Spoke with {plain} about the plan.", 4), ("Seen by Dr. {surname} in the evening.", 4), ("Seen by Dr. {surname} over the weekend.", 4), ("Cc: Dr. {full}", 2), ("Attending: {full}", 3), ("Daughter {given} called.", 2), ("Prof. {surname} agrees.", 2), ("{full} (friend) will drive.", 2),
     ("Contact: {email}", 10), ("E-mail {email}; prefers mornings.", 10), ("Results to be sent to {email} once ready.", 8), ("Next of kin writes from {email}, please reply.", 8),
     ("Copy of letter requested by mailto:{email} today.", 8), ("Daughter ({email}) wants updates this morning.", 8), ("Reach the family at {email}.", 4),
     ("Home phone: {phone}, no voicemail.", 10), ("Call {phone} with culture results.", 10), ("Pager/cell {phone} for urgent issues.", 10), ("Son reachable on {phone} after work.", 10), ("Tel {phone}", 10),
@@ -91,6 +93,7 @@ also thyroid ultrasound: mild necrosis, no thrombosis, renal outline normal.|Ser
 Wound diffuse, arterial line changed before transfer, next change in 12 hours.|Wound marked, chest drain changed at 04:00, next change in 8 hours.|Reports tremor and marked night sweats at 04:00, denies blurred vision.|Reports rash and early nausea at 04:00, denies weight loss.
 Rates dizziness 46/100 at 04:00, better after norvastin 5.7 mmol/L.|norvastin | 3.5 mL | at 04:00|selidorab | 17.0 µg/kg | at handover|Impression: modest pancreatitis, unlikely synovial hypertrophy.|Order #04080766 for logistic regression sent overnight.
 norvastin 12.0 µg/kg three times daily, at 04:00|selidorab 7.2 mL twice daily, after dialysis|quivorastin 13.4 IU once daily, before transfer|Order #06212475 for whole-exome sequencing sent before transfer.|Wound early, central line changed on arrival, next change in 30 hours.
+Dr. call informed of headache and mild rash overnight.|Dr. on informed of tremor and early nausea at handover.|Dr. on call of palpitations and marked pain this morning.
 METHODS: Of 190 biopsies, 42 showed inflammation.|Mean 12.5 (range 3-18) at 24 weeks (p = 0.087).|Serial 55-10-22 of the pump noted.|Batch 000-77-1203 returned.|Ticket 5550143 closed.|Room 12-80-55 cleaned.|Form ZL44 filed."""
 
 
