@@ -1,9 +1,9 @@
 """Problem 3: near-duplicate texts with small edits.
 
-Method: one-permutation hashing with optimal densification, banded buckets, and star-shaped candidate
-edges: within a bucket every text is linked to the bucket's smallest one only, so a bucket of m texts
-gives m - 1 candidates. Candidates are weighed by their signatures, then checked exactly; links are
-closed over common neighbours, so that texts which met only a star's centre are compared too.
+Method: one-permutation hashing with optimal densification and banded buckets. Within a bucket the
+signatures of every two texts are compared, in numpy blocks; what they do not rule out is a candidate
+and is checked exactly. Links are closed over common neighbours until none is new, which finds pairs
+that share no bucket.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslane.llm.forest import spanning_forest
@@ -25,6 +25,10 @@ from corpuslane.session import materialize, release, small
 _WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
+#: Texts of a bucket in one block; a larger bucket is cut into blocks, and every two of them meet in a task.
+BLOCK = 1 << 15
+#: Buckets up to SMALL texts are compared together, larger ones in tiles of TILE x TILE.
+SMALL, TILE = 32, 512
 
 
 @dataclass(frozen=True)
@@ -42,7 +46,6 @@ class NearDupParams:
     bands: int = 24
     rows: int = 4
     slack: float = 3.5
-    closure_rounds: int = 3
 
     @property
     def bins(self) -> int:
@@ -149,12 +152,7 @@ def _sign_all(docs: DataFrame, p: NearDupParams) -> DataFrame:
 
 
 def _band_rows(sigs: DataFrame, p: NearDupParams) -> DataFrame:
-    """(key, node): for each text and band one row, less those that a task can settle itself.
-
-    Texts of one batch that share a bucket become a star there and then: only the centre goes on under
-    the bucket's key, and each edge goes on under a key of its own. A hot bucket thus reaches the
-    shuffle with one row per batch.
-    """
+    """(key, node): for each text and band one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,20 +167,7 @@ def _band_rows(sigs: DataFrame, p: NearDupParams) -> DataFrame:
                 key = key + (node & 1).astype(np.uint64)[:, None]
                 for r in range(p.rows):
                     key = _mix(key + sig[:, :, r])
-            key = key.ravel()
-            who = np.repeat(node, p.bands)
-            order = np.argsort(key)
-            key, who = key[order], who[order]
-            head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            centre = np.minimum.reduceat(who, head)
-            of = np.repeat(centre, np.diff(np.concatenate((head, [len(key)]))))
-            pair = np.unique(np.stack((of[of != who], who[of != who]), 1), axis=0)
-            with np.errstate(over="ignore"):
-                own = _mix(_mix(pair[:, 0].astype(np.uint64)) + pair[:, 1].astype(np.uint64))
-            keys = np.concatenate((key[head], own, own)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(np.concatenate((centre, pair[:, 0], pair[:, 1])))], names=["key", "node"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(node, p.bands))], names=["key", "node"])
 
     return sigs.select("node", "sig").mapInArrow(run, "key bigint, node bigint")
 
@@ -196,23 +181,113 @@ def jaccard(a: str, b: str, shingle: int) -> float:
     return both / (len(s) + len(t) - both) if both else 0.0
 
 
-def _weigh(edges: DataFrame, sigs: DataFrame, p: NearDupParams) -> DataFrame:
-    """Edges whose signatures do not rule them out; an eight-bit part of each bin is compared."""
+def _least_equal(p: NearDupParams) -> int:
+    """Equal bins that a pair needs, else its signatures rule it out."""
     least = p.threshold - p.slack * (p.threshold * (1 - p.threshold) / p.bins) ** 0.5
+    return int(np.ceil(least * p.bins))
+
+
+def _low(sig: str) -> Column:
+    """An eight-bit part of each bin."""
 
     @F.pandas_udf("binary")
     def low(s: pd.Series) -> pd.Series:
         return s.map(lambda x: x[::2])
 
-    @F.pandas_udf("float")
+    return low(sig)
+
+
+def _tiles(node: np.ndarray, sig: np.ndarray, other: np.ndarray, other_sig: np.ndarray, least: int, same: bool) -> Iterator[np.ndarray]:
+    """Pairs of two blocks, or of one block with itself, that have ``least`` equal bins."""
+    for i in range(0, len(node), TILE):
+        x = np.ascontiguousarray(sig[i : i + TILE].T)
+        for k in range(i if same else 0, len(other), TILE):
+            y = np.ascontiguousarray(other_sig[k : k + TILE].T)
+            equal = np.zeros((x.shape[1], y.shape[1]), np.uint16 if len(x) > 255 else np.uint8)
+            for u, v in zip(x, y, strict=True):
+                equal += u[:, None] == v
+            r, c = np.nonzero(equal >= least)
+            if same and i == k:
+                r, c = r[r < c], c[r < c]
+            yield np.stack((node[i + r], other[k + c]), 1)
+
+
+def _alike(key: np.ndarray, own: np.ndarray, node: np.ndarray, sig: np.ndarray, least: int) -> Iterator[np.ndarray]:
+    """Pairs inside each run of equal ``key`` (rows: bucket, two blocks) that have ``least`` equal bins."""
+    head = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
+    size = np.diff(np.concatenate((head, [len(key)])))
+    whole = key[head, 1] == key[head, 2]
+    for m in range(2, SMALL + 1):
+        r, c = np.triu_indices(m, 1)
+        at = head[(size == m) & whole]
+        step = max(1, 50_000 // len(r))
+        for lo in range(0, len(at), step):
+            i, k = (at[lo : lo + step, None] + r).ravel(), (at[lo : lo + step, None] + c).ravel()
+            ok = np.add.reduce(sig[i] == sig[k], axis=1, dtype=np.uint16) >= least
+            yield np.stack((node[i[ok]], node[k[ok]]), 1)
+    for lo, n, one in zip(head, size, whole, strict=True):
+        if one and n <= SMALL:
+            continue
+        s = slice(lo, lo + n)
+        first = own[s] == key[lo, 1]
+        a, x = node[s][first], sig[s][first]
+        if one:
+            yield from _tiles(a, x, a, x, least, True)
+        else:
+            yield from _tiles(a, x, node[s][~first], sig[s][~first], least, False)
+
+
+def _candidates(sigs: DataFrame, p: NearDupParams) -> DataFrame:
+    """(a < b): all pairs of texts that share a bucket and whose signatures do not rule them out."""
+    least = _least_equal(p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, own, node = np.stack([b.column(k).to_numpy() for k in range(3)], 1), b.column(3).to_numpy(), b.column(4).to_numpy()
+            new = (key, own, node, np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(len(node), -1))
+            rows = new if kept is None else tuple(np.concatenate(x) for x in zip(kept, new, strict=True))
+            # the last run may go on in the next batch
+            differ = np.flatnonzero((rows[0] != rows[0][-1]).any(1))
+            cut = differ[-1] + 1 if len(differ) else 0
+            kept = tuple(x[cut:] for x in rows)
+            if cut:
+                yield from out(_alike(*(x[:cut] for x in rows), least))
+        if kept is not None:
+            yield from out(_alike(*kept, least))
+
+    def out(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for x in found:
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(x.min(1)), pa.array(x.max(1))], names=["a", "b"])
+
+    n = F.count("*").over(Window.partitionBy("key"))
+    shared = materialize(_band_rows(sigs, p).withColumn("n", n).where("n > 1"), "buckets")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    placed = shared.join(sigs.select("node", _low("sig").alias("s")), "node").withColumn("own", F.pmod(F.xxhash64("node"), blocks))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    parts = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("k"), "own", "node", "s")
+    pairs = parts.repartition("key", "i", "k").sortWithinPartitions("key", "i", "k").mapInArrow(run, "a bigint, b bigint")
+    found = materialize(pairs.distinct(), "candidates")
+    release(shared)
+    return found
+
+
+def _weigh(edges: DataFrame, sigs: DataFrame, p: NearDupParams) -> DataFrame:
+    """Edges whose signatures do not rule them out."""
+    least = _least_equal(p)
+
+    @F.pandas_udf("int")
     def equal(a: pd.Series, b: pd.Series) -> pd.Series:
         if not len(a):
-            return pd.Series([], dtype="float32")
+            return pd.Series([], dtype="int32")
         x = np.frombuffer(b"".join(a), np.uint8).reshape(len(a), -1)
         y = np.frombuffer(b"".join(b), np.uint8).reshape(len(b), -1)
-        return pd.Series((x == y).mean(axis=1, dtype=np.float32))
+        return pd.Series((x == y).sum(axis=1, dtype=np.int32))
 
-    s = sigs.select("node", low("sig").alias("s"))
+    s = sigs.select("node", _low("sig").alias("s"))
     j = edges.join(s.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(
         s.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b"
     )
@@ -272,16 +347,11 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
         sigs.select("node", "content", table.alias("t")).join(small(groups, 24), ["content", "t"]).where("node != rep").select("node", "rep"), "copies"
     )
     reps = sigs.join(small(copies.select("node"), 16), "node", "left_anti")
-    star = F.min("node").over(Window.partitionBy("key"))
-    edges = materialize(
-        _band_rows(reps, p).withColumn("a", star).where("a != node").select("a", F.col("node").alias("b")).distinct(), "edges"
-    )
-    weighed = materialize(_weigh(edges, sigs, p), "candidates")
-    release(edges)
+    weighed = _candidates(reps, p)
     links = _check(weighed, live, p, "links")
     release(weighed)
-    fresh, done = links, [links]
-    for k in range(p.closure_rounds):
+    fresh, seen = links, None
+    while True:
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = fresh.select("a", "b").unionByName(fresh.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hop = (
@@ -293,15 +363,14 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
             .join(links.select("a", "b"), ["a", "b"], "left_anti")
         )
         hop = materialize(hop, "hops")
-        tried = hop if k == 0 else materialize(hop.join(seen, ["a", "b"], "left_anti"), "hops")
+        tried = hop if seen is None else materialize(hop.join(seen, ["a", "b"], "left_anti"), "hops")
         if tried.isEmpty():
             break
-        seen = tried if k == 0 else seen.unionByName(tried)
+        seen = tried if seen is None else seen.unionByName(tried)
         weighed = materialize(_weigh(tried, sigs, p), "candidates")
         fresh = _check(weighed, live, p, "links")
         if fresh.isEmpty():
             break
-        done.append(fresh)
         links = links.unionByName(fresh)
     return NearDups(sigs, copies, links)
 

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from corpuslane.llm import neardup
 from corpuslane.llm.neardup import NearDupParams, Signer, all_pairs, groups, jaccard, near_duplicates
 
 P = NearDupParams(shingle=3, threshold=0.5, bands=48, rows=3)
@@ -57,3 +58,33 @@ def test_signatures_estimate_similarity():
 def test_empty_table(spark):
     r = near_duplicates(spark.createDataFrame([], "node bigint, text string"), P)
     assert all_pairs(r).count() == 0 and groups(r).count() == 0
+
+
+def family(seed=5, size=300):
+    """Texts edited so much that about half of all pairs reach the threshold."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(150)]
+    out = []
+    for _ in range(size):
+        w = list(words)
+        at = rng.randrange(len(w))
+        for k in range(rng.randrange(20, 60)):  # a stretch of its own
+            w[(at + k) % len(w)] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_large_family(spark, monkeypatch):
+    texts = family()
+    sets = [set(zip(w, w[1:], w[2:], strict=False)) for w in map(neardup.words, texts)]
+    want = {(2 * i, 2 * j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])}
+    df = spark.createDataFrame([(2 * i, t) for i, t in enumerate(texts)], "node bigint, text string")
+    by_bands = []
+    for block in (neardup.BLOCK, 50):  # buckets whole, and cut into blocks
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        sigs = neardup._sign_all(df, P)
+        by_bands.append({(x["a"], x["b"]) for x in neardup._candidates(sigs, P).collect()})
+        assert len(want & by_bands[-1]) >= 0.99 * len(want)
+    assert by_bands[0] == by_bands[1]
+    got = {(x["a"], x["b"]) for x in all_pairs(near_duplicates(df, P)).collect()}
+    assert got <= want and len(got) >= 0.998 * len(want)
