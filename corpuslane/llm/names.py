@@ -127,13 +127,18 @@ ESTABLISHED = 3
 RARER = 4
 
 
+def _rarer(na: int, nb: int) -> bool:
+    """Whether the rarer of two names or words can be a slip of the other by their numbers."""
+    return min(na, nb) < ESTABLISHED or min(na, nb) * RARER <= max(na, nb)
+
+
 def _slip(a: str, b: str, na: int, nb: int) -> bool:
     """Whether one spelling is a slip of the other; na, nb: with how many partners each occurs."""
     if len(a) < 3 or len(b) < 3 or not one_slip(a, b):
         return False
     if max(len(a), len(b)) > 4 and jaro_winkler(a, b) < LEAST_JW:  # in shorter words one slip is too much for it
         return False
-    return min(na, nb) < ESTABLISHED or min(na, nb) * RARER <= max(na, nb)
+    return _rarer(na, nb)
 
 
 # persons -----------------------------------------------------------------------------------------
@@ -306,11 +311,11 @@ def _abbreviates(u: str, v: str) -> bool:
     return all(c in rest for c in u)
 
 
-def compare_journals(a: str, b: str, ca: list[int], cb: list[int]) -> int:
+def compare_journals(a: str, b: str, ca: list[int], cb: list[int], na: int, nb: int) -> int:
     """0: different; 1: same title; 2: the first, 3: the second one abbreviates the other.
 
-    ca, cb: in how many titles each word occurs. A slip that turns one established word into another
-    one makes two titles.
+    ca, cb: in how many titles each word occurs; na, nb: uses of the titles. A slip that turns one
+    established word into another one makes two titles, unless the word or the title is much rarer.
     """
     count = dict(zip(a.split(), ca, strict=True)) | dict(zip(b.split(), cb, strict=True))
     x = [w for w in a.split() if w not in _SMALL_WORDS]
@@ -325,7 +330,7 @@ def compare_journals(a: str, b: str, ca: list[int], cb: list[int]) -> int:
         if len(x) != len(y) or len(differ) != 1:
             return 1
         u, v = differ[0]
-        if min(len(u), len(v)) >= 5 and min(count[u], count[v]) < ESTABLISHED:
+        if min(len(u), len(v)) >= 5 and (_rarer(count[u], count[v]) or min(na, nb) * RARER <= max(na, nb)):
             return 1
     if len(x) != len(y):
         return 0
@@ -456,8 +461,8 @@ def link_journals(names: DataFrame) -> DataFrame:
         return s.map(journal_keys)
 
     @F.pandas_udf("int")
-    def compare(a: pd.Series, b: pd.Series, ca: pd.Series, cb: pd.Series) -> pd.Series:
-        return pd.Series([compare_journals(*x) for x in zip(a, b, ca, cb, strict=True)], dtype="int32")
+    def compare(a: pd.Series, b: pd.Series, ca: pd.Series, cb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+        return pd.Series([compare_journals(*x) for x in zip(a, b, ca, cb, na, nb, strict=True)], dtype="int32")
 
     names = names.where(F.col("name").isNotNull())
     read = materialize(names.select("name", "n", parse("name").alias("node")).where("node != ''"), "journals")
@@ -465,9 +470,9 @@ def link_journals(names: DataFrame) -> DataFrame:
     words = titles.select("node", F.posexplode(F.split("node", " ")).alias("at", "w"))
     counts = words.groupBy("w").agg(F.countDistinct("node").cast("int").alias("c"))
     c = words.join(counts, "w").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "c"))), lambda x: x["c"]).alias("c"))
-    nodes = materialize(c, "journal-nodes")
-    pairs = _pairs_in_blocks(nodes.withColumn("key", F.explode(keys("node"))), ["node", "c"])
-    judged = materialize(pairs.select("node1", "node2", compare("node1", "node2", "c1", "c2").alias("same")).where("same > 0"), "journal-links")
+    nodes = materialize(c.join(read.groupBy("node").agg(F.sum("n").alias("n")), "node"), "journal-nodes")
+    pairs = _pairs_in_blocks(nodes.withColumn("key", F.explode(keys("node"))), ["node", "c", "n"])
+    judged = materialize(pairs.select("node1", "node2", compare("node1", "node2", "c1", "c2", "n1", "n2").alias("same")).where("same > 0"), "journal-links")
     fits = judged.where("same > 1").select(
         F.when(F.col("same") == 2, F.col("node1")).otherwise(F.col("node2")).alias("node"),
         F.when(F.col("same") == 2, F.col("node2")).otherwise(F.col("node1")).alias("into"),

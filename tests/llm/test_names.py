@@ -76,3 +76,14 @@ def test_journals(spark):
     assert parse_journal("  Proceedings & Notes, Journal of ") == "journal of proceedings and notes"
     pairs = variant_pairs(spark.createDataFrame(c)).collect()
     assert len(pairs) == sum(len(v) * (len(v) - 1) // 2 for v in JOURNALS.values()) and all(a < b for a, b in pairs)
+
+
+def test_one_slip_in_several_journals(spark):
+    right = ["Archives of Renal Pathology", "Journal of Dermal Pathology", "Annals of Clinical Pathology", "Reviews in Surgical Pathology"]
+    rows = [(t, 40) for t in right] + [(t.replace("Pathology", "Pathlogy"), 2) for t in right]
+    # two words that are one slip apart, both well established
+    apart = [f"{a} of {b} Disease" for a in ("Journal", "Annals", "Archives") for b in ("Nasal", "Basal")]
+    k = link_journals(spark.createDataFrame(rows + [(t, 9) for t in apart], "name string, n bigint")).toPandas().set_index("name").cluster
+    for t in right:
+        assert k[t] == k[t.replace("Pathology", "Pathlogy")], t
+    assert k.nunique() == len(right) + len(apart)
