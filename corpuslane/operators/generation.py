@@ -46,9 +46,10 @@ def document_header(n: Column, pmid: Column, journal: Column, pub_date: Column,
 
 
 def format_context(selected: DataFrame) -> DataFrame:
-    """(query_id, context, citations, n_citations) of selected hits with ``rank``, ``doc_id``, ``text``, ``score`` and the metadata of :func:`document_header`.
+    """(query_id, context, citations, n_citations, documents) of selected hits with ``rank``, ``doc_id``, ``text``, ``score`` and the metadata of :func:`document_header`.
 
-    Missing metadata columns count as null. Citations are (n, doc_id, snippet of 200 characters, score).
+    Missing metadata columns count as null. Citations are (n, doc_id, snippet of 200 characters, score),
+    documents (n, text) with the whole text, null as ''.
     A query's context is at most the few documents that were selected for it.
     """
     d = selected
@@ -60,9 +61,11 @@ def format_context(selected: DataFrame) -> DataFrame:
     head = document_header(*[F.col(c) for c in ("n", "pmid", "journal", "pub_date", "title", "note_id", "note_type", "section")])
     d = d.withColumn("line", F.concat(head, F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n")))
     d = d.withColumn("cite", F.struct("n", F.col("doc_id").cast("string").alias("doc_id"), F.substring("text", 1, 200).alias("snippet"), "score"))
-    g = d.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", "line", "cite"))).alias("x"))
+    d = d.withColumn("body", F.coalesce("text", F.lit("")))
+    g = d.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", "line", "cite", "body"))).alias("x"))
     return g.select(
-        "query_id", F.array_join(F.transform("x", lambda y: y["line"]), "\n---\n").alias("context"), F.transform("x", lambda y: y["cite"]).alias("citations"), F.size("x").alias("n_citations")
+        "query_id", F.array_join(F.transform("x", lambda y: y["line"]), "\n---\n").alias("context"), F.transform("x", lambda y: y["cite"]).alias("citations"), F.size("x").alias("n_citations"),
+        F.transform("x", lambda y: F.struct(y["n"].alias("n"), y["body"].alias("text"))).alias("documents"),
     )
 
 
@@ -107,13 +110,13 @@ class Generator(Protocol):
     def stream(self, system: str, user: str) -> Iterator[str]: ...
 
 
-def extractive_answer(question: Column, citations: Column, most: int = 3) -> Column:
-    """Default answer: of each of the first ``most`` documents the snippet's first sentence, cited."""
+def extractive_answer(question: Column, documents: Column, most: int = 3) -> Column:
+    """Default answer: of each of the first ``most`` documents (n, text) the first sentence, cited."""
     parts = F.transform(
-        F.slice(citations, 1, most),
-        lambda c: F.concat(F.coalesce(F.element_at(sentences_plain(c["snippet"]), 1), F.lit("")), F.lit(" [Doc "), c["n"].cast("string"), F.lit("]")),
+        F.slice(documents, 1, most),
+        lambda c: F.concat(F.coalesce(F.get(sentences_plain(c["text"]), F.lit(0)), F.lit("")), F.lit(" [Doc "), c["n"].cast("string"), F.lit("]")),
     )
-    shared = F.size(F.array_intersect(word_set(question), F.array_distinct(F.flatten(F.transform(citations, lambda c: word_set(c["snippet"]))))))
+    shared = F.size(F.array_intersect(word_set(question), F.array_distinct(F.flatten(F.transform(documents, lambda c: word_set(c["text"]))))))
     level = F.when(shared >= F.size(word_set(question)) / 2, "high").when(shared > 0, "medium").otherwise("low")
     return F.concat(F.array_join(parts, " "), F.lit("\n\nConfidence level: "), level)
 
@@ -128,7 +131,7 @@ def generate(contexts: DataFrame, queries: DataFrame, task: str = "clinical_qa",
     system = PROMPTS.get(task, PROMPTS["clinical_qa"])
     d = queries.select("query_id", "text").join(contexts, "query_id", "left")
     if model is None:
-        d = d.withColumn("raw", extractive_answer(F.col("text"), F.col("citations")))
+        d = d.withColumn("raw", extractive_answer(F.col("text"), F.col("documents")))
     else:
 
         @F.arrow_udf("string")

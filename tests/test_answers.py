@@ -30,6 +30,16 @@ def test_context(spark):
     assert b["answer"] == generation.REFUSAL and b["confidence"] == 0.35
 
 
+def test_answer_reads_the_whole_text(spark):
+    long = "Renal function " + "was measured again and " * 20 + "aspirin stopped the bleeding. Next one."
+    rows = [(1, 1, "d1", long, 0.5), (1, 2, "d2", None, 0.4)]
+    h = spark.createDataFrame(rows, "query_id int, rank int, doc_id string, text string, score double")
+    q = spark.createDataFrame([(1, "aspirin bleeding")], "query_id int, text string")
+    a = generation.generate(generation.format_context(generation.select_context(h)), q, least_confidence=0.8).first()
+    assert a["answer"].startswith(long.removesuffix(" Next one.") + " [Doc 1]") and a["confidence"] == 0.85
+    assert len(a["citations"][0]["snippet"]) == 200
+
+
 def test_confidence(spark):
     d = docs(spark, "Confidence level: Medium", "nothing", "we cannot answer", "HIGH confidence")
     assert [r[0] for r in d.orderBy("doc_id").select(generation.confidence(F.col("text"))).collect()] == [0.6, 0.7, 0.1, 0.85]
