@@ -396,7 +396,8 @@ def with_details(df: DataFrame, text: str, out: str = "details") -> DataFrame:
                 rows += [[{"kind": k, "start_char": a, "end_char": b} for a, b, k in x] for x in tagger.find(part)]
             yield pa.array(rows, _TYPE)
 
-    return df.withColumn(out, find(F.col(f"`{text}`")))
+    # called nondeterministic, the function is not copied into filters, so a text is decoded once
+    return df.withColumn(out, find.asNondeterministic()(F.col(f"`{text}`")))
 
 
 def redact(df: DataFrame, text: str, out: str = "redacted") -> DataFrame:

@@ -179,7 +179,8 @@ def split_oversized(df: DataFrame, text_col: str, params: SplitParams = SplitPar
         names = ("char_start", "char_end", "token_count", "overlap_words", "cut_kind")
         return s.map(lambda t: [dict(zip(names, x, strict=True)) for x in cut_text(t, p)])
 
-    out = big.withColumn("_pieces", cut(text)).withColumn("n_pieces", F.size("_pieces"))
+    # called nondeterministic, the function is not copied into the filters that other operators push down
+    out = big.withColumn("_pieces", cut.asNondeterministic()(text)).withColumn("n_pieces", F.size("_pieces"))
     keep = [F.col(f"`{c}`") for c in src.columns if c not in new]
     return out.select("*", F.posexplode("_pieces").alias("piece_index", "_p")).select(
         *keep,

@@ -20,3 +20,9 @@ def test_equals_sql(name, spark, duck, same_rows):
 def test_runs(name, spark):
     df = QUERIES[name](spark, DATA)
     assert df.columns and df.count() >= 0
+
+
+@pytest.mark.parametrize(("name", "branches"), [("p1_found", 3), ("p1_pieces", 3), ("p5_found", 1), ("p5_redacted", 1)])
+def test_python_runs_once_per_text(spark, name, branches):
+    plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == branches
