@@ -35,10 +35,29 @@ CACHE = 100_000
 #: Texts and tokens that are decoded at a time.
 TEXTS, GROUP = 5000, 400_000
 
-_STREET = frozenset("street st road rd lane ln avenue ave close crescent drive dr boulevard blvd way court place square terrace rue allee weg platz calle via apt apartment suite box".split())
-_KIN = frozenset("wife husband son daughter mother father brother sister partner spouse friend neighbour aunt uncle cousin nephew niece".split())
-_TITLE = frozenset("dr mr mrs ms miss prof nurse sr doctor professor".split())
-_EPONYM = frozenset("disease syndrome sign score scale test phenomenon lymphoma catheter monitor mask coma dementia palsy reflex tube drain".split())
+#: Word classes, fixed values of general use: they let a cue that was seen with one word count for the others of its class.
+_CLASSES = {
+    "street": "street st road rd lane ln avenue ave close crescent drive dr boulevard blvd way court ct place pl square terrace parkway highway hill row circle rue allee weg platz gasse calle via straat apt apartment suite unit box",
+    "kin": "wife husband son daughter mother father brother sister partner spouse friend neighbour neighbor aunt uncle cousin nephew niece grandson granddaughter grandmother grandfather fiance mom dad parent guardian caregiver proxy stepson roommate",
+    "title": "dr drs mr mrs ms miss prof nurse sr doctor professor sgt rn chaplain",
+    "role": "md do np pa rn phd pharmd lpn pt ot msw licsw attending physician surgeon resident provider author pcp consultant therapist pharmacist dietitian interpreter witness nurse fellow intern clerk",
+    "phone-word": "tel telephone phone ph cell cellphone mobile fax pager beeper call callback ring dial text voicemail landline hotline extension reach reached reachable phoned",
+    "id-word": "ssn ss social security mrn mr medical record chart passport member insurance policy subscriber medicare medicaid id",
+    "other-number": "order lot specimen sample accession batch serial device model ticket invoice requisition request protocol trial tube barcode tracking kit slide case reference confirmation job prescription rx cassette catalogue form room bed bay ward unit",
+    "telling": "spoke spoken talked discussed called told informed updated notified paged signed dictated transcribed reviewed cosigned seen evaluated examined referred authenticated verified witnessed assisted accompanied visited entered prepared approved",
+    "living": "lives living resides residing address discharged moved staying stays mail letter letters deliver delivered home house",
+    "mail-word": "email mail mailto e-mail emailed write writes portal",
+    "eponym-head": "disease syndrome sign score scale test phenomenon lymphoma catheter monitor mask coma dementia palsy reflex tube drain fracture maneuver procedure position virus contracture criteria classification thyroiditis needle line bodies cells stain ulcer",
+    "month": "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday",
+    "small": "the a an of in on at to for with by from and or as is was are were be has had who that this if no not his her he she it they about after before re per via than then when w",
+    "dotted": "dot at",
+    "unit": "mg ml mcg g kg l iu units mmol meq dl u ng mmhg bpm cm mm min h hr tabs puffs drops µg",
+    "grade": "mild moderate severe marked slight minimal diffuse focal early late partial complete subtle extensive acute chronic new old small large recent likely possible probable unlikely no resolving worsening unchanged",
+}
+_CLASS_OF: dict[str, list[str]] = {}
+for _c, _ws in _CLASSES.items():
+    for _w in _ws.split():
+        _CLASS_OF.setdefault(_w, []).append("c:" + _c)
 
 
 def _shape(w: str) -> str:
@@ -51,25 +70,21 @@ def features(w: str) -> list[str]:
     low = w.lower()
     bare = re.sub(r"\d", "0", low)
     out = ["bias", "s:" + _shape(w), "ls:" + _shape(low), "w:" + bare]
+    out += _CLASS_OF.get(low, ())
     if low.isalpha():
         n = len(low)
         out += ["p:" + low[:2], "f:" + low[-2:], "g:" + low[-3:], "len:" + str(min(n, 12)), "alpha"]
-        if low in _STREET:
-            out.append("street")
-        elif low.endswith(("weg", "strasse", "straße", "gasse")) and n > 5:
-            out += ["street", "joined-street"]
-        if low in _KIN:
-            out.append("kin")
-        if low in _TITLE:
-            out.append("title")
-        if low in _EPONYM:
-            out.append("eponym-head")
+        if low.endswith(("weg", "strasse", "straße", "gasse", "allee", "platz", "straat", "vej", "gatan")) and n > 5:
+            out.append("joined-street")
+        if w[0].isupper() and low not in _CLASS_OF:
+            out.append("capital")
     elif low.isdigit():
         out.append("digits")
     elif len(low) > 1:
         out.append("mixed")
         if any(c.isdigit() for c in low):
             out.append("has-digit")
+            out.append("n-digits:" + str(min(sum(c.isdigit() for c in low), 11)))
         out += ["has" + c for c in "._+-" if c in low]
     return out
 
@@ -100,10 +115,11 @@ def _allowed() -> np.ndarray:
     return a
 
 
-def labelled() -> list[tuple[list[str], list[int]]]:
-    """The labelled table as tokens and label numbers, each row also in upper and in lower case."""
+def labelled(rows: list[str] | None = None) -> list[tuple[list[str], list[int]]]:
+    """The labelled table as tokens and label numbers; some rows also in upper and in lower case."""
     out = []
-    for r in pii_labels.rows():
+    rng = np.random.default_rng(3)
+    for r in pii_labels.rows() if rows is None else rows:
         text, spans, at = "", [], 0
         for m in _MARK.finditer(r):
             text += r[at : m.start()]
@@ -111,7 +127,8 @@ def labelled() -> list[tuple[list[str], list[int]]]:
             text += m[2]
             at = m.end()
         text += r[at:]
-        for t in (text, text.lower(), text.upper()):
+        draw = rng.random()
+        for t in (text, text.lower()) if draw < 0.5 else (text, text.upper()) if draw < 0.7 else (text,):
             if len(t) != len(text):
                 continue
             toks, labs = [], []
@@ -124,7 +141,7 @@ def labelled() -> list[tuple[list[str], list[int]]]:
                 labs.append(lab)
             out.append((toks, labs))
     # rows follow each other in notes, so the model sees neighbours on both sides
-    mixed = [out[k] for k in np.random.default_rng(3).permutation(len(out))]
+    mixed = [out[k] for k in rng.permutation(len(out))]
     return [(sum((x[0] for x in mixed[k : k + 3]), []), sum((x[1] for x in mixed[k : k + 3]), [])) for k in range(0, len(mixed), 3)]
 
 
@@ -163,9 +180,13 @@ def minimise(f, x: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=1)
-def train(rounds: int = 60, l2: float = 0.05) -> Crf:
-    """Fit the field to the labelled table: the penalised log-likelihood's maximum, by L-BFGS; deterministic."""
-    data = labelled()
+def train(rounds: int = 60, l2: float = 0.2) -> Crf:
+    """The field fitted to the labelled table."""
+    return fit(labelled(), rounds, l2)
+
+
+def fit(data: list[tuple[list[str], list[int]]], rounds: int = 60, l2: float = 0.3) -> Crf:
+    """Fit a field to labelled token sequences: the penalised log-likelihood's maximum, by L-BFGS; deterministic."""
     types: dict[str, int] = {}
     ids = [[types.setdefault(w, len(types)) for w in t] for t, _ in data]
     index: dict[str, int] = {}
@@ -175,62 +196,67 @@ def train(rounds: int = 60, l2: float = 0.05) -> Crf:
     type_ = np.repeat(np.arange(len(types)), [len(f) for f in feats])
     begin = np.concatenate(([0], np.cumsum([len(f) for f in feats])))[:-1]
     order = sorted(range(len(ids)), key=lambda k: -len(ids[k]))
-    size = np.array([len(ids[k]) for k in order])
-    b, n, d, nf, nt = len(ids), int(size[0]), len(REACH), len(index), len(types)
-    x = np.full((b, n + d - 1), nt)
-    y = np.zeros((b, n), np.int64)
-    for row, k in enumerate(order):
-        x[row, REACH[-1] : REACH[-1] + len(ids[k])] = ids[k]
-        y[row, : len(ids[k])] = data[k][1]
-    live = [int((size > i).sum()) for i in range(n)]
-    mask = np.arange(n) < size[:, None]
-    gold = np.eye(N, dtype=np.float32)[y] * mask[..., None]
-    pairs = np.zeros((N, N))
-    for i in range(1, n):
-        np.add.at(pairs, (y[: live[i], i - 1], y[: live[i], i]), 1)
+    d, nf, nt = len(REACH), len(index), len(types)
+    nw = d * nf * N
     allowed = _allowed().astype(np.float32)
     f0 = np.zeros(N, np.float32)
     f0[[k for k, v in enumerate(LABELS) if v[0] == "I"]] = -1e4
-    nw = d * nf * N
+    pairs = np.zeros((N, N))
+    parts = []  # of sequences of like length, so that little is padded
+    for rows in np.array_split(np.array(order), max(1, min(8, len(order) // 50))):
+        size = np.array([len(ids[k]) for k in rows])
+        b, n = len(rows), int(size[0])
+        x = np.full((b, n + d - 1), nt)
+        y = np.zeros((b, n), np.int64)
+        for row, k in enumerate(rows):
+            x[row, REACH[-1] : REACH[-1] + len(ids[k])] = ids[k]
+            y[row, : len(ids[k])] = data[k][1]
+        live = [int((size > i).sum()) for i in range(n)]
+        mask = np.arange(n) < size[:, None]
+        gold = np.eye(N, dtype=np.float32)[y] * mask[..., None]
+        for i in range(1, n):
+            np.add.at(pairs, (y[: live[i], i - 1], y[: live[i], i]), 1)
+        parts.append((b, n, x, live, mask, gold))
 
     def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
         w, t = p[:nw].reshape(d, nf, N).astype(np.float32), p[nw:].reshape(N, N).astype(np.float32)
         table = np.zeros((d, nt + 1, N), np.float32)  # distances x types x labels
         table[:, :-1] = np.add.reduceat(w[:, feat], begin, axis=1)
-        e = np.zeros((b, n, N), np.float32)
-        for k in range(d):
-            e += table[k][x[:, k : k + n]]
-        tr = t + allowed
-        ex = np.exp(tr)
-        # scaled forward and backward passes
-        top = e.max(2)
-        ee = np.exp(e - top[..., None])
-        al, be = np.zeros_like(e), np.ones_like(e)
-        scale = np.ones((b, n), np.float32)
-        al[:, 0] = ee[:, 0] * np.exp(f0)
-        for i in range(n):
-            c = live[i]
-            if i:
-                al[:c, i] = (al[:c, i - 1] @ ex) * ee[:c, i]
-            scale[:c, i] = al[:c, i].sum(1)
-            al[:c, i] /= scale[:c, i, None]
-        gt = np.zeros((N, N))
-        for i in range(n - 1, 0, -1):
-            c = live[i]
-            q = ee[:c, i] * be[:c, i] / scale[:c, i, None]
-            be[:c, i - 1] = q @ ex.T
-            gt += (al[:c, i - 1].T @ q) * ex
-        marg = al * be * mask[..., None]
-        value = float((np.log(scale) * mask).sum() + (top * mask).sum() - (e * gold).sum() - (pairs * t).sum())
-        ge = (marg - gold).reshape(-1, N)
+        ex = np.exp(t + allowed)
+        value, gt, by_type = 0.0, np.zeros((N, N)), np.zeros((d, N, nt + 1))
+        for b, n, x, live, mask, gold in parts:
+            e = np.zeros((b, n, N), np.float32)
+            for k in range(d):
+                e += table[k][x[:, k : k + n]]
+            # scaled forward and backward passes
+            top = e.max(2)
+            ee = np.exp(e - top[..., None])
+            al, be = np.zeros_like(e), np.ones_like(e)
+            scale = np.ones((b, n), np.float32)
+            al[:, 0] = ee[:, 0] * np.exp(f0)
+            for i in range(n):
+                c = live[i]
+                if i:
+                    al[:c, i] = (al[:c, i - 1] @ ex) * ee[:c, i]
+                scale[:c, i] = al[:c, i].sum(1)
+                al[:c, i] /= scale[:c, i, None]
+            for i in range(n - 1, 0, -1):
+                c = live[i]
+                q = ee[:c, i] * be[:c, i] / scale[:c, i, None]
+                be[:c, i - 1] = q @ ex.T
+                gt += (al[:c, i - 1].T @ q) * ex
+            value += float((np.log(scale) * mask).sum() + (top * mask).sum() - (e * gold).sum())
+            ge = np.ascontiguousarray((al * be - gold)[mask].T)
+            for k in range(d):
+                col = x[:, k : k + n][mask]
+                for c in range(N):
+                    by_type[k, c] += np.bincount(col, weights=ge[c], minlength=nt + 1)
         gw = np.empty((d, nf, N))
         for k in range(d):
-            col = x[:, k : k + n].ravel()
             for c in range(N):
-                by_type = np.bincount(col, weights=ge[:, c], minlength=nt + 1)
-                gw[k, :, c] = np.bincount(feat, weights=by_type[type_], minlength=nf)
+                gw[k, :, c] = np.bincount(feat, weights=by_type[k, c][type_], minlength=nf)
         grad = np.concatenate((gw.ravel(), (gt - pairs).ravel())) + l2 * p
-        return value + l2 / 2 * float(p @ p), grad
+        return value - float((pairs * t).sum()) + l2 / 2 * float(p @ p), grad
 
     p = minimise(loss, np.zeros(nw + N * N), rounds)
     return Crf(index, p[:nw].reshape(d, nf, N).astype(np.float32), p[nw:].reshape(N, N).astype(np.float32) + allowed, f0)
