@@ -50,7 +50,7 @@ _BLOCKS = "doc_id bigint, host string, n_chars int, chars int, dense double, var
 
 def _exempt(line: str) -> bool:
     """Whether a line belongs to a table, a reference list, a glossary or a medication list."""
-    if "\t" in line:
+    if "\t" in line and not _LINK.search(line) and not _TAG.search(line):
         return True
     if _REFERENCE.match(line) or _YEAR_PAGES.search(line):
         return True
@@ -59,37 +59,38 @@ def _exempt(line: str) -> bool:
     return bool(_DOSE.search(line) or line.count(" - ") < 2 and _GLOSSARY.match(line))
 
 
+_ODD = re.compile(r"[|#<\[/;$€£]|\.[\w-]|\d[.,]\d\d|www")
+
+
+def _may_be_listed(low: str) -> bool:
+    """False only where no match of ``_LINK``, ``_TAG`` or ``_PRODUCT`` and no separator that is counted can be."""
+    return bool(_ODD.search(low)) or "sku" in low or "ref" in low or "art" in low or "item" in low
+
+
 def _sentence(seg: str) -> bool:
     """Whether a stretch without inner sentence ends reads like a sentence."""
-    w = _WORD.findall(seg.lower())
-    if "http" in seg or "www." in seg:
-        # a sentence that names a source
-        own = _WORD.findall(_LINK.sub(" ", seg).lower())
-        if len(own) >= 4 and seg.rstrip()[-1:] in ".!?…" and len(set(own)) >= 0.8 * len(own) and not _FUNCTION.isdisjoint(own):
-            return True
-    if len(w) < 4 or _LINK.search(seg) and len(_LINK.sub("", seg)) < len(seg) / 2 or len(_TAG.findall(seg)) * 3 > len(w):
-        return False
-    if len(_PRODUCT.findall(seg)) * 8 > len(w) or seg.count("|") * 4 > len(w) or seg.count(";") * 5 > len(w) or seg.count("/") * 4 > len(w):
+    low = seg.lower()
+    w = _WORD.findall(low)
+    distinct = len(set(w))
+    if _may_be_listed(low):
+        if "http" in seg or "www." in seg:
+            # a sentence that names a source
+            own = _WORD.findall(_LINK.sub(" ", seg).lower())
+            if len(own) >= 4 and seg.rstrip()[-1:] in ".!?…" and len(set(own)) >= 0.8 * len(own) and not _FUNCTION.isdisjoint(own):
+                return True
+        if _LINK.search(seg) and len(_LINK.sub("", seg)) < len(seg) / 2 or len(_TAG.findall(seg)) * 3 > len(w):
+            return False
+        if len(_PRODUCT.findall(seg)) * 8 > len(w) or seg.count("|") * 4 > len(w) or seg.count(";") * 5 > len(w) or seg.count("/") * 4 > len(w):
+            return False
+    if len(w) < 4 or distinct < 0.6 * len(w) and len(w) > 12:
         return False
-    if len(set(w)) < 0.6 * len(w) and len(w) > 12 or len(w) > 80 and len(set(w)) < 0.5 * len(w):
+    if len(w) > 80 and distinct < 0.5 * len(w):
         return False
-    f = sum(x in _FUNCTION for x in w)
-    if seg.rstrip()[-1:] in ".!?…" and len(w) >= 5 and f:
+    if seg.rstrip()[-1:] in ".!?…" and len(w) >= 5 and not _FUNCTION.isdisjoint(w):
         return True
+    f = sum(x in _FUNCTION for x in w)
     # headlines have no stop at their end, but more words than entries of a list
-    return len(w) >= 8 and f >= 0.12 * len(w) and len(set(w)) >= 0.7 * len(w)
-
-
-_ODD = re.compile(r"[|#\t<\[/;]|www\.|\d[.,]\d\d(?!\d)|SKU")
-
-
-def _plain(seg: str) -> bool:
-    """The common case of :func:`_sentence`, told without further patterns: a closed sentence of varied words."""
-    s = seg.rstrip()
-    if s[-1:] not in ".!?…" or _ODD.search(s):
-        return False
-    w = s.lower().split()
-    return 5 <= len(w) <= 60 and len(set(w)) >= 0.7 * len(w) and not _FUNCTION.isdisjoint(w)
+    return len(w) >= 8 and f >= 0.12 * len(w) and distinct >= 0.7 * len(w)
 
 
 def _split(text: str) -> Iterator[tuple[int, int]]:
@@ -108,22 +109,25 @@ def list_blocks(text: str) -> list[tuple[int, float, float, list[int]]]:
     Consecutive stretches that are no sentence and in no table, reference list, glossary or medication
     list make up a block.
     """
-    out, run = [], []
+    out, run, begin = [], [], 0
     for a, b in [*_split(text), (len(text), len(text))]:
         seg = text[a:b]
         if a < b and seg.isspace():
             if run:
                 run.append(seg)
             continue
-        if a < b and not _plain(seg) and not _exempt(seg) and not _sentence(seg):
+        if a < b and not _sentence(seg) and not _exempt(seg):
+            begin = begin if run else a
             run.append(seg)
             continue
         if not run:
             continue
+        # a few words count if they fill their lines; inside a line they are a part of what stands around them
+        whole = (begin == 0 or text[begin - 1] == "\n") and (a == len(text) or text[a - 1] == "\n")
         block = "".join(run).rstrip()
         run = []
         w = _WORD.findall(block.lower())
-        if len(w) < 6:
+        if not w or len(w) < 6 and not whole:
             continue
         marked = sum(len(m.group()) for m in _LINK.finditer(block))
         rest = _LINK.sub(" ", block)
@@ -133,6 +137,8 @@ def list_blocks(text: str) -> list[tuple[int, float, float, list[int]]]:
         r = _WORD.findall(rest.lower())
         if products and len(r) <= products * 10:
             marked += len(rest.strip())
+        if len(w) < 6 and marked < DENSE * len(block):
+            continue  # a heading
         hashes = {xxhash.xxh3_64_intdigest(" ".join(w[i : i + PHRASE])) - (1 << 63) for i in range(max(1, len(w) - PHRASE + 1))}
         out.append((len(block), marked / len(block), len(set(w)) / len(w), list(hashes)))
     return out
@@ -173,17 +179,17 @@ def page_evidence(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     b = materialize(b, "blocks")
     flat = b.select("doc_id", "block", "host", F.explode("phrases").alias("phrase"))
     freq = materialize(
-        flat.groupBy("phrase").agg(F.count("*").alias("rows"), F.countDistinct("host").alias("hosts")),
+        flat.groupBy("phrase").agg(F.count("*").alias("rows"), (F.min("host") != F.max("host")).alias("elsewhere")),
         "phrase-hosts",
     )
     total = freq.agg(F.sum("rows")).first()[0] or 0
-    hot = freq.where(F.col("rows") * HOT > total).select("phrase", "hosts")
-    rest = freq.where(F.col("rows") * HOT <= total).select("phrase", "hosts")
+    hot = freq.where(F.col("rows") * HOT > total).select("phrase", "elsewhere")
+    rest = freq.where(F.col("rows") * HOT <= total).select("phrase", "elsewhere")
     first = flat.join(F.broadcast(hot), "phrase", "left")
-    known = first.where("hosts is not null").select("block", "hosts").unionByName(
-        first.where("hosts is null").drop("hosts").join(rest, "phrase").select("block", "hosts")
+    known = first.where("elsewhere is not null").select("block", "elsewhere").unionByName(
+        first.where("elsewhere is null").drop("elsewhere").join(rest, "phrase").select("block", "elsewhere")
     )
-    share = known.groupBy("block").agg(F.avg((F.col("hosts") > 1).cast("int")).alias("replicated"))
+    share = known.groupBy("block").agg(F.avg(F.col("elsewhere").cast("int")).alias("replicated"))
     j = b.drop("phrases").join(share, "block")
     repeated = 1 - F.col("variety")
     stitched = (F.col("variety") <= VARIED) & (repeated + F.col("replicated") >= STITCHED)

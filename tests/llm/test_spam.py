@@ -1,5 +1,9 @@
+import os
+
+import pandas as pd
 import pytest
 
+from corpuslane.llm import spam
 from corpuslane.llm.spam import list_blocks, page_evidence, spam_pages
 
 PROSE = "The committee reviewed the results of the trial and found no difference between the groups. Patients were followed for two years by their own doctors. " * 4
@@ -46,3 +50,25 @@ def test_characters(pages):
 
 def test_empty_table(pages):
     assert spam_pages(pages.limit(0)).count() == 0
+
+
+def test_tabs_and_short_pages(spark):
+    rows = [
+        (1, "a.example | b.example | c.example", "a"),
+        (2, "\n".join(f"http://a{i}.example/x\thttp://b{i}.example/y" for i in range(9)), "a"),
+        (3, "#buy #cheap #pills", "b"), (4, "Open daily.", "b"), (5, PROSE, "b"), (6, None, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r["doc_id"] for r in spam_pages(df).collect()} == {1, 2, 3}
+
+
+def test_quick_exit_changes_nothing(monkeypatch):
+    """The patterns that ``_may_be_listed`` skips match nothing, over a whole table."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    segs = [t[a:b] for t in pd.read_parquet(path, columns=["text"]).text.dropna() for a, b in spam._split(t)]
+    segs += [t[a:b] for t in (SPAM | FINE).values() for a, b in spam._split(t)]
+    quick = [spam._sentence(s) for s in segs]
+    monkeypatch.setattr(spam, "_may_be_listed", lambda low: True)
+    assert quick == [spam._sentence(s) for s in segs]
