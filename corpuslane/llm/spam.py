@@ -177,9 +177,9 @@ def page_evidence(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     """
     b = phrase_blocks(docs, doc_id, text, host).withColumn("block", F.monotonically_increasing_id())
     b = materialize(b, "blocks")
-    flat = b.select("doc_id", "block", "host", F.explode("phrases").alias("phrase"))
+    flat = b.select("doc_id", "block", F.xxhash64("host").alias("h"), F.explode("phrases").alias("phrase"))
     freq = materialize(
-        flat.groupBy("phrase").agg(F.count("*").alias("rows"), (F.min("host") != F.max("host")).alias("elsewhere")),
+        flat.groupBy("phrase").agg(F.count("*").alias("rows"), (F.min("h") != F.max("h")).alias("elsewhere")),
         "phrase-hosts",
     )
     total = freq.agg(F.sum("rows")).first()[0] or 0
