@@ -1,9 +1,12 @@
 """Problem 3: near-duplicate texts with small edits.
 
-Method: one-permutation hashing with optimal densification and banded buckets. Within a bucket the
-signatures of every two texts are compared, in numpy blocks; what they do not rule out is a candidate
-and is checked exactly. Links are closed over common neighbours until none is new, which finds pairs
-that share no bucket.
+Method: one-permutation hashing with optimal densification, banded buckets and star-shaped candidate
+edges. The centres of a bucket's stars are chosen one after the other, by hash, among the texts that
+are not close to an earlier centre; every text of the bucket is compared with every centre, and what
+the signatures do not rule out is a candidate and is checked exactly. Two texts of a bucket that were
+not compared are thus close to centres; where a close link and another link meet, the closure compares
+their ends, until no link is new. Distances (one minus the similarity) keep the triangle inequality,
+so the ends of two close links always reach the threshold: the closure's work is bounded by its result.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslane.llm.forest import spanning_forest
@@ -25,10 +28,12 @@ from corpuslane.session import materialize, release, small
 _WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
-#: Texts of a bucket in one block; a larger bucket is cut into blocks, and every two of them meet in a task.
-BLOCK = 1 << 15
-#: Buckets up to SMALL texts are compared together, larger ones in tiles of TILE x TILE.
-SMALL, TILE = 32, 512
+#: Texts of a bucket in one block. A larger bucket is cut into blocks, whose centres meet in the next level.
+BLOCK = 1 << 13
+#: Blocks whose centres are more than this share of their texts leave nothing to gain: every two of them are compared.
+DISTINCT = 0.8
+#: Edge of the tiles in which two blocks are compared.
+TILE = 512
 
 
 @dataclass(frozen=True)
@@ -51,6 +56,11 @@ class NearDupParams:
     def bins(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def close(self) -> float:
+        """Two texts this similar to a third one reach the threshold with each other."""
+        return (1 + self.threshold) / 2
+
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -151,6 +161,26 @@ def _sign_all(docs: DataFrame, p: NearDupParams) -> DataFrame:
     return docs.mapInArrow(run, "node bigint, content bigint, sig binary")
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (key, node), sorted by key, whose key is not alone. Rows stream through, however many share a key."""
+    last = None  # a row that waits for the next batch
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+        seen = None
+        if last is not None:
+            key, node, seen = np.concatenate(([last[0]], key)), np.concatenate(([last[1]], node)), last[2]
+        same = key[1:] == key[:-1]
+        keep = np.concatenate((same, [False])) | np.concatenate(([seen == key[0]], same))
+        last = (key[-1], node[-1], key[-1] if keep[-1] else None)
+        keep = keep[:-1]
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][keep]), pa.array(node[:-1][keep])], names=["key", "node"])
+    if last is not None and last[2] is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([last[0]]), pa.array([last[1]])], names=["key", "node"])
+
+
 def _band_rows(sigs: DataFrame, p: NearDupParams) -> DataFrame:
     """(key, node): for each text and band one row."""
 
@@ -212,71 +242,124 @@ def _tiles(node: np.ndarray, sig: np.ndarray, other: np.ndarray, other_sig: np.n
             yield np.stack((node[i + r], other[k + c]), 1)
 
 
-def _alike(key: np.ndarray, own: np.ndarray, node: np.ndarray, sig: np.ndarray, least: int) -> Iterator[np.ndarray]:
-    """Pairs inside each run of equal ``key`` (rows: bucket, two blocks) that have ``least`` equal bins."""
-    head = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
-    size = np.diff(np.concatenate((head, [len(key)])))
-    whole = key[head, 1] == key[head, 2]
-    for m in range(2, SMALL + 1):
-        r, c = np.triu_indices(m, 1)
-        at = head[(size == m) & whole]
-        step = max(1, 50_000 // len(r))
-        for lo in range(0, len(at), step):
-            i, k = (at[lo : lo + step, None] + r).ravel(), (at[lo : lo + step, None] + c).ravel()
-            ok = np.add.reduce(sig[i] == sig[k], axis=1, dtype=np.uint16) >= least
-            yield np.stack((node[i[ok]], node[k[ok]]), 1)
-    for lo, n, one in zip(head, size, whole, strict=True):
-        if one and n <= SMALL:
+def stars(node: np.ndarray, sig: np.ndarray, least: int, close: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, centres) of one block: each centre with all texts that have ``least`` equal bins with it.
+
+    The next centre is the first text, by a hash, that has fewer than ``close`` equal bins with all centres so far.
+    """
+    with np.errstate(over="ignore"):
+        order = np.argsort(_mix(node.astype(np.uint64) + sig[:, 0].astype(np.uint64)), kind="stable")
+    node, sig = node[order], sig[order]
+    open_ = np.ones(len(node), bool)
+    pairs, centres, at = [], [], 0
+    while at < len(node):
+        if open_[at]:
+            equal = np.add.reduce(sig == sig[at], axis=1, dtype=np.uint16)
+            open_ &= equal < close
+            equal[at] = 0
+            hit = np.flatnonzero(equal >= least)
+            pairs.append(np.stack((np.full(len(hit), node[at]), node[hit]), 1))
+            centres.append(node[at])
+        at += 1
+    return np.concatenate(pairs), np.array(centres)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Whole runs of equal keys (the first columns) from sorted batches: several runs at a time, each complete."""
+    kept = None
+    for b in batches:
+        if not b.num_rows:
             continue
-        s = slice(lo, lo + n)
-        first = own[s] == key[lo, 1]
-        a, x = node[s][first], sig[s][first]
-        if one:
-            yield from _tiles(a, x, a, x, least, True)
-        else:
-            yield from _tiles(a, x, node[s][~first], sig[s][~first], least, False)
+        new = (*(b.column(k).to_numpy() for k in range(b.num_columns - 1)), np.frombuffer(b"".join(b.column(b.num_columns - 1).to_pylist()), np.uint8).reshape(b.num_rows, -1))
+        rows = new if kept is None else tuple(np.concatenate(x) for x in zip(kept, new, strict=True))
+        differ = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in rows[:keys]]))
+        cut = differ[-1] + 1 if len(differ) else 0
+        kept = tuple(x[cut:] for x in rows)
+        if cut:
+            yield tuple(x[:cut] for x in rows)
+    if kept is not None:
+        yield kept
+
+
+def _cuts(*keys: np.ndarray) -> Iterator[slice]:
+    """The runs of equal keys."""
+    change = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    at = np.concatenate(([0], np.flatnonzero(change) + 1, [len(keys[0])])).tolist()
+    return (slice(a, b) for a, b in zip(at[:-1], at[1:], strict=True))
+
+
+def _edge_batch(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1)), pa.nulls(len(pairs), pa.int64())], names=["a", "b", "key"])
 
 
 def _candidates(sigs: DataFrame, p: NearDupParams) -> DataFrame:
-    """(a < b): all pairs of texts that share a bucket and whose signatures do not rule them out."""
+    """(a < b): the star edges of all buckets whose signatures do not rule them out.
+
+    Blocks of a bucket larger than ``BLOCK`` hand their centres to the next level, where these are one
+    bucket again, in blocks of other texts.
+    """
     least = _least_equal(p)
+    # what the signatures call close has to be close indeed, since the closure relies on it
+    close = int(np.ceil((p.close + p.slack * (p.close * (1 - p.close) / p.bins) ** 0.5) * p.bins))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, own, node = np.stack([b.column(k).to_numpy() for k in range(3)], 1), b.column(3).to_numpy(), b.column(4).to_numpy()
-            new = (key, own, node, np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(len(node), -1))
-            rows = new if kept is None else tuple(np.concatenate(x) for x in zip(kept, new, strict=True))
-            # the last run may go on in the next batch
-            differ = np.flatnonzero((rows[0] != rows[0][-1]).any(1))
-            cut = differ[-1] + 1 if len(differ) else 0
-            kept = tuple(x[cut:] for x in rows)
-            if cut:
-                yield from out(_alike(*(x[:cut] for x in rows), least))
-        if kept is not None:
-            yield from out(_alike(*kept, least))
-
-    def out(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for x in found:
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(x.min(1)), pa.array(x.max(1))], names=["a", "b"])
-
-    n = F.count("*").over(Window.partitionBy("key"))
-    shared = materialize(_band_rows(sigs, p).withColumn("n", n).where("n > 1"), "buckets")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    placed = shared.join(sigs.select("node", _low("sig").alias("s")), "node").withColumn("own", F.pmod(F.xxhash64("node"), blocks))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-    parts = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("k"), "own", "node", "s")
-    pairs = parts.repartition("key", "i", "k").sortWithinPartitions("key", "i", "k").mapInArrow(run, "a bigint, b bigint")
-    found = materialize(pairs.distinct(), "candidates")
+        for key, own, blocks, node, sig in _runs(batches, 2):
+            found = []
+            for s in _cuts(key, own):
+                pairs, centres = stars(node[s], sig[s], least, close)
+                found.append(pairs)
+                if blocks[s.start] > 1:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(centres), pa.nulls(len(centres), pa.int64()), pa.array(np.full(len(centres), key[s.start]))], names=["a", "b", "key"]
+                    )
+            yield _edge_batch(np.unique(np.concatenate(found), axis=0))
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, i, k, own, node, sig in _runs(batches, 3):
+            for s in _cuts(key, i, k):
+                first, n, g = own[s] == i[s.start], node[s], sig[s]
+                whole = i[s.start] == k[s.start]
+                rest = first if whole else ~first
+                for x in _tiles(n[first], g[first], n[rest], g[rest], least, whole):
+                    if len(x):
+                        yield _edge_batch(x)
+
+    edge = "a bigint, b bigint, key bigint"
+    sorted_ = _band_rows(sigs, p).repartition("key").sortWithinPartitions("key")
+    members = shared = materialize(sorted_.mapInArrow(_repeated, "key bigint, node bigint"), "buckets")
+    low = sigs.select("node", _low("sig").alias("s"))
+    levels = []
+    while True:
+        # keys with more than BLOCK texts; there are at most as many as blocks in the whole table
+        hot = materialize(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "hot-buckets")
+        many = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1))
+        own = F.pmod(F.xxhash64("node", F.lit(len(levels))), many)
+        blocked = members.join(small(hot, 16), "key", "left").select("key", "node", many.alias("blocks"), own.alias("own"))
+        placed = blocked.join(low, "node").select("key", "own", "blocks", "node", "s")
+        out = materialize(placed.repartition("key", "own").sortWithinPartitions("key", "own").mapInArrow(run, edge), "stars")
+        levels.append(out.where("b is not null").select("a", "b"))
+        if hot.isEmpty():
+            break
+        before = hot.agg(F.sum("n")).first()[0]
+        members = out.where("b is null").select("key", F.col("a").alias("node"))
+        if members.count() > DISTINCT * before:
+            n = members.groupBy("key").agg(F.count("*").alias("n"))
+            many = F.ceil(F.col("n") / BLOCK)
+            cut = members.join(F.broadcast(hot.select("key").join(n, "key")), "key").withColumn("blocks", many).withColumn("own", F.pmod(F.xxhash64("node"), many))
+            met = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).join(low, "node")
+            parts = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("k"), "own", "node", "s")
+            levels.append(parts.repartition("key", "i", "k").sortWithinPartitions("key", "i", "k").mapInArrow(every, edge).select("a", "b"))
+            break
+    found = levels[0]
+    for x in levels[1:]:
+        found = found.unionByName(x)
+    found = materialize(found.distinct(), "candidates")
     release(shared)
     return found
 
 
 def _weigh(edges: DataFrame, sigs: DataFrame, p: NearDupParams) -> DataFrame:
-    """Edges whose signatures do not rule them out."""
+    """Edges whose signatures (node, s) do not rule them out."""
     least = _least_equal(p)
 
     @F.pandas_udf("int")
@@ -287,28 +370,43 @@ def _weigh(edges: DataFrame, sigs: DataFrame, p: NearDupParams) -> DataFrame:
         y = np.frombuffer(b"".join(b), np.uint8).reshape(len(b), -1)
         return pd.Series((x == y).sum(axis=1, dtype=np.int32))
 
-    s = sigs.select("node", _low("sig").alias("s"))
-    j = edges.join(s.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(
-        s.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b"
+    j = edges.join(sigs.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(
+        sigs.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b"
     )
     return j.where(equal("sa", "sb") >= least).select("a", "b")
 
 
-def _check(edges: DataFrame, docs: DataFrame, p: NearDupParams, name: str) -> DataFrame:
-    """Edges (a written table) of texts that truly reach the threshold, with the similarity."""
+def _grams(docs: DataFrame, p: NearDupParams) -> DataFrame:
+    """(node, g): the distinct word sequences of each text, as 64-bit hashes."""
 
-    @F.pandas_udf("double")
-    def exact(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y, p.shingle) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    ids = materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), name + "-ids")
-    texts = docs.join(small(ids, 16), "node", "left_semi")
-    j = edges.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Words()
+        for b in batches:
+            rows = []
+            for t in b.column(1).to_pylist():
+                h = np.array([cache[w] for w in words(t)], np.uint64)
+                s = np.zeros(max(0, len(h) - p.shingle + 1), np.uint64)
+                with np.errstate(over="ignore"):
+                    for k in range(p.shingle):
+                        s = s * _U(0x9E3779B97F4A7C15) + h[k : k + len(s)]
+                rows.append(np.unique(_mix(s)).view(np.int64))
+            ends = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+            flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["node", "g"])
+
+    return docs.select("node", "text").mapInArrow(run, "node bigint, g array<bigint>")
+
+
+def _check(edges: DataFrame, grams: DataFrame, p: NearDupParams, name: str) -> DataFrame:
+    """Edges of texts that truly reach the threshold, with the similarity."""
+    j = edges.join(grams.select(F.col("node").alias("a"), F.col("g").alias("ga")), "a").join(
+        grams.select(F.col("node").alias("b"), F.col("g").alias("gb")), "b"
+    )
+    both = F.size(F.array_intersect("ga", "gb"))
+    j = j.select("a", "b", both.alias("both"), (F.size("ga") + F.size("gb")).alias("n"))
+    return materialize(
+        j.select("a", "b", (F.col("both") / (F.col("n") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= p.threshold), name
     )
-    out = materialize(j.select("a", "b", exact("ta", "tb").alias("similarity")).where(F.col("similarity") >= p.threshold), name)
-    release(ids)
-    return out
 
 
 @dataclass
@@ -329,13 +427,16 @@ class NearDups:
         return self.copies.select("rep", "node").unionByName(reps.select("rep", F.col("rep").alias("node")))
 
 
-def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) -> NearDups:
-    """Classes of copies and all links between different texts, from (node bigint, text).
+def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(), closed: bool = True) -> NearDups:
+    """Classes of copies and links between different texts, from (node bigint, text).
 
     ``node`` is unique; its lowest bit names the table, and tables are not compared with each other.
     Null texts and texts under ``min_words`` words take no part. Rows that repeat a node are undefined.
     Texts of the same words are put into one class first (by hash), so that a hot text costs no
-    candidates; a class is represented by its smallest node.
+    candidates; a class is represented by its smallest node. ``closed`` asks for all links; without it
+    the links are those to the centres, which suffice for groups and grow with the texts only.
+
+    The texts are read twice: once for signatures, once for the word sequences of those that have a candidate.
     """
     p = params
     live = docs.where(F.col("text").isNotNull() & (F.length("text") >= 2 * p.min_words - 1)).select("node", "text")
@@ -346,29 +447,37 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     copies = materialize(
         sigs.select("node", "content", table.alias("t")).join(small(groups, 24), ["content", "t"]).where("node != rep").select("node", "rep"), "copies"
     )
+    release(groups)
     reps = sigs.join(small(copies.select("node"), 16), "node", "left_anti")
-    weighed = _candidates(reps, p)
-    links = _check(weighed, live, p, "links")
-    release(weighed)
-    fresh, seen = links, None
+    edges = _candidates(reps, p)
+    ids = materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidate-ids")
+    grams = materialize(_grams(live.join(small(ids, 16), "node", "left_semi"), p), "grams")
+    links = _check(edges, grams, p, "links")
+    release(edges, ids)
+    if not closed:
+        return NearDups(sigs, copies, links)
+    linked = materialize(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "linked")
+    low = materialize(sigs.join(small(linked, 16), "node", "left_semi").select("node", _low("sig").alias("s")), "linked-signatures")
+    fresh, seen = links, links.select("a", "b").where("false")
     while True:
-        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = fresh.select("a", "b").unionByName(fresh.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both, near = (
+            x.select(F.col("a").alias("c"), F.col("b").alias("y"), "similarity").unionByName(x.select(F.col("b").alias("c"), F.col("a").alias("y"), "similarity"))
+            for x in (links, fresh)
+        )
         hop = (
-            near.select(F.col("a").alias("c"), F.col("b").alias("x"))
-            .join(both.select(F.col("a").alias("c"), F.col("b").alias("y")), "c")
-            .where("x != y")
+            near.withColumnsRenamed({"y": "x", "similarity": "sx"})
+            .join(both, "c")
+            .where((F.col("x") != F.col("y")) & (F.greatest("sx", "similarity") >= p.close))
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct()
             .join(links.select("a", "b"), ["a", "b"], "left_anti")
+            .join(seen, ["a", "b"], "left_anti")
         )
         hop = materialize(hop, "hops")
-        tried = hop if seen is None else materialize(hop.join(seen, ["a", "b"], "left_anti"), "hops")
-        if tried.isEmpty():
+        if hop.isEmpty():
             break
-        seen = tried if seen is None else seen.unionByName(tried)
-        weighed = materialize(_weigh(tried, sigs, p), "candidates")
-        fresh = _check(weighed, live, p, "links")
+        fresh = _check(_weigh(hop, low, p), grams, p, "links")
+        seen = seen.unionByName(hop)
         if fresh.isEmpty():
             break
         links = links.unionByName(fresh)
@@ -394,16 +503,14 @@ def all_pairs(r: NearDups) -> DataFrame:
 
 
 def groups(r: NearDups) -> DataFrame:
-    """(node, class_id, rep, n_links): every text with enough words, its group, the text it copies, and the links of that text."""
+    """(node, class_id, rep): every text with enough words, its group, and the text that it copies (else itself)."""
     _, labels = spanning_forest(r.links.select("a", "b"), "groups")
     smallest = labels.groupBy("root").agg(F.min("v").alias("class_id"))
     named = labels.join(smallest, "root").select(F.col("v").alias("rep"), "class_id")
-    degree = r.links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     return (
         r.sigs.select("node")
         .join(r.copies, "node", "left")
         .select("node", F.coalesce("rep", "node").alias("rep"))
         .join(named, "rep", "left")
-        .join(degree, "rep", "left")
-        .select("node", F.coalesce("class_id", "rep").alias("class_id"), "rep", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("node", F.coalesce("class_id", "rep").alias("class_id"), "rep")
     )

@@ -73,8 +73,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    g = neardup.groups(neardup.near_duplicates(_texts(spark, d), P3))
-    return g.select(_named("node").alias("tbl"), *[F.shiftright(c, 1).alias(n) for c, n in (("node", "id"), ("class_id", "class_id"), ("rep", "copy_of"))], "n_links")
+    g = neardup.groups(neardup.near_duplicates(_texts(spark, d), P3, closed=False))
+    return g.select(_named("node").alias("tbl"), *[F.shiftright(c, 1).alias(n) for c, n in (("node", "id"), ("class_id", "class_id"), ("rep", "copy_of"))])
 
 
 # 4 -----------------------------------------------------------------------------------------------
