@@ -50,7 +50,7 @@ class NearDupParams:
     min_words: int = 40
     bands: int = 24
     rows: int = 4
-    slack: float = 3.5
+    slack: float = 3.0
 
     @property
     def bins(self) -> int:
