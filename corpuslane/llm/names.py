@@ -4,6 +4,10 @@ Method: spellings are parsed to sorted tokens, blocked by the tokens' phonetic c
 errors that change a code, by the ends of the tokens), compared by Jaro-Winkler and a nickname
 table, and clustered by connected components of the accepted pairs. Initials and abbreviations join a
 cluster only if it is the one cluster that they can stand for.
+
+Since a slip may be in the surname or in the given name, but not in both, each block key holds one of
+the two as it is and only a code of the other: a frequent surname is split by its bearers' given
+names, a frequent given name by the surnames. Initials meet full names only, never each other.
 """
 
 from __future__ import annotations
@@ -77,12 +81,12 @@ def phonetic(token: str) -> str:
 
 
 def jaro_winkler(a: str, b: str) -> float:
-    """Jaro-Winkler similarity with prefix weight 0.1."""
+    """Jaro-Winkler similarity with prefix weight 0.1; letters of short words may match one place apart, too."""
     if a == b:
         return 1.0
     if not a or not b:
         return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
+    reach = max(max(len(a), len(b)) // 2 - 1, 1)
     hit_b = [False] * len(b)
     ma = []
     for i, c in enumerate(a):
@@ -105,22 +109,9 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
-def one_slip(a: str, b: str) -> bool:
-    """Whether one inserted, left out, changed or swapped character turns ``a`` into ``b``."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1 or a == b:
-        return False
-    i = 0
-    while i < len(a) and a[i] == b[i]:
-        i += 1
-    if len(a) < len(b):
-        return a[i:] == b[i + 1 :]
-    return a[i + 1 :] == b[i + 1 :] or (i + 1 < len(a) and a[i] == b[i + 1] and a[i + 1] == b[i] and a[i + 2 :] == b[i + 2 :])
-
-
-#: Least Jaro-Winkler similarity of two spellings of one token.
-LEAST_JW = 0.8
+#: Least Jaro-Winkler similarity of two spellings of one surname, given name or word of a title, and of two titles
+#: that divide their letters into words differently. Fitted by looking at the pairs around them; see the README.
+SURNAME_JW, GIVEN_JW, WORD_JW, TITLE_JW = 0.85, 0.79, 0.86, 0.96
 #: A word is established if it stands in that many titles, or a name with that many partners.
 ESTABLISHED = 3
 #: An established name can be a slip only of one with that many times its partners.
@@ -132,13 +123,9 @@ def _rarer(na: int, nb: int) -> bool:
     return min(na, nb) < ESTABLISHED or min(na, nb) * RARER <= max(na, nb)
 
 
-def _slip(a: str, b: str, na: int, nb: int) -> bool:
+def _slip(a: str, b: str, na: int, nb: int, least: float) -> bool:
     """Whether one spelling is a slip of the other; na, nb: with how many partners each occurs."""
-    if len(a) < 3 or len(b) < 3 or not one_slip(a, b):
-        return False
-    if max(len(a), len(b)) > 4 and jaro_winkler(a, b) < LEAST_JW:  # in shorter words one slip is too much for it
-        return False
-    return _rarer(na, nb)
+    return len(a) >= 3 and len(b) >= 3 and a != b and jaro_winkler(a, b) >= least and _rarer(na, nb)
 
 
 # persons -----------------------------------------------------------------------------------------
@@ -211,16 +198,34 @@ def parse_person(name: str) -> list[tuple[str, str, str, bool]]:
     return out
 
 
-def person_keys(surname: str, given: str) -> list[str]:
-    """Block keys of a reading: phonetic codes of its sorted tokens, and the surname's ends, with an initial."""
-    code = " ".join(phonetic(t) for t in surname.split())
+def _ends(w: str) -> set[str]:
+    """Keys that two spellings of a word share if they are one slip apart: a half of them, or what is left without one letter."""
+    keys = {"d" + w[:k] + w[k + 1 :] for k in range(len(w))} | {"d" + w} if len(w) < 7 else set()
+    if len(w) > 5:
+        for n in (len(w), len(w) + 1):  # the length of the longer one of two
+            keys |= {f"a{n}{w[: n // 2]}", f"z{n}{w[n // 2 + 1 - n :]}"}
+    return keys
+
+
+#: Sides of a block: full names are compared with each other, initials with full names only.
+BOTH, INITIAL, FULL = 0, 1, 2
+
+
+def person_keys(surname: str, given: str) -> list[tuple[str, int]]:
+    """Block keys of a reading, each with its side; none without a given name or initial."""
+    if not given:
+        return []
     squeezed = surname.replace(" ", "")
-    firsts = {g[:1] for g in full_names(given)}
-    keys = {f"{x}|{k}" for x in firsts for k in ("c" + code, "a" + squeezed[:4], "z" + squeezed[-4:])}
+    near = {"c" + " ".join(phonetic(t) for t in surname.split()), "a" + squeezed[:4], "z" + squeezed[-4:]}
+    if len(given) == 1:
+        return [(f"i|{given}|{k}", INITIAL) for k in sorted(near)]
+    full = full_names(given)
+    keys = {(f"i|{x}|{k}", FULL) for x in {g[:1] for g in full} for k in near}
     if " " in surname:
-        keys |= {f"{x}|t{phonetic(t)}" for x in firsts for t in surname.split()}
-    if len(given) > 2:
-        keys |= {f"{code}|{given[-3:]}", f"{squeezed[:4]}{squeezed[-4:]}|{phonetic(given)[1:]}"}
+        near |= {"t" + phonetic(t) for t in surname.split()}
+    keys |= {(f"s|{given}|{k}", BOTH) for k in near}
+    keys |= {(f"n|{surname}|{g}", BOTH) for g in full}
+    keys |= {(f"g|{surname}|{k}", BOTH) for k in _ends(given) | {"p" + phonetic(given)}}
     return sorted(keys)
 
 
@@ -242,7 +247,7 @@ def compare_persons(s1: str, g1: str, m1: str, ns1: int, ng1: int, s2: str, g2:
         # of double surnames only the words that differ are compared
         x, y = s1.split(), s2.split()
         a, b = "".join(t for t in x if t not in y), "".join(t for t in y if t not in x)
-    if slip and not _slip(a, b, ns1, ns2):
+    if slip and not _slip(a, b, ns1, ns2, SURNAME_JW):
         return 0
     i1, i2 = len(g1) == 1, len(g2) == 1
     if i1 and i2:
@@ -259,7 +264,7 @@ def compare_persons(s1: str, g1: str, m1: str, ns1: int, ng1: int, s2: str, g2:
     elif not slip and full_names(g1) & full_names(g2):
         # a short form may stand for several names, so it has to fit one only
         first, rank = (g2 in full_names(g1), g1 < g2) > (g1 in full_names(g2), g2 < g1), 0
-    elif not slip and _slip(g1, g2, ng1, ng2):
+    elif not slip and _slip(g1, g2, ng1, ng2, GIVEN_JW):
         first, rank = (ng1, g1) <= (ng2, g2), 1000 * (1 - jaro_winkler(g1, g2))
     else:
         return 0
@@ -285,8 +290,8 @@ def parse_journal(title: str) -> str:
 def journal_keys(norm: str) -> list[str]:
     """Block keys of a title: first letters and phonetic codes of its sorted words, and both ends of its letters.
 
-    Each phonetic key leaves out one word, where a slip may be; the ends, which begin after the first word,
-    find slips across two words.
+    Each phonetic key leaves out one word, where a slip may be, but for its first or its last letter; the ends,
+    which begin after the first word, find slips across two words.
     """
     content = [w for w in norm.split() if w not in _SMALL_WORDS]
     if not content:
@@ -294,8 +299,9 @@ def journal_keys(norm: str) -> list[str]:
     words = sorted(content)
     head, rest = content[0], "".join(content[1:])
     keys = {"i" + "".join(w[0] for w in words), f"a{head[0]}{rest[:8]}", f"z{head[0]}{rest[-9:]}"}
-    for k in range(len(words)):
-        keys.add("p" + " ".join(phonetic(w)[:3] for j, w in enumerate(words) if j != k))
+    for k, out in enumerate(words):
+        others = "p" + " ".join(phonetic(w)[:3] for j, w in enumerate(words) if j != k)
+        keys |= {f"{others}|{out[0]}", f"{others}|~{out[-1]}"}
     return sorted(keys)
 
 
@@ -326,14 +332,13 @@ def compare_journals(a: str, b: str, ca: list[int], cb: list[int], na: int, nb:
     if p == q:
         return 1
     differ = [(u, v) for u, v in zip(x, y, strict=False) if u != v]
-    if one_slip(p, q) and jaro_winkler(p, q) >= LEAST_JW:
-        if len(x) != len(y) or len(differ) != 1:
-            return 1
-        u, v = differ[0]
-        if min(len(u), len(v)) >= 5 and (_rarer(count[u], count[v]) or min(na, nb) * RARER <= max(na, nb)):
-            return 1
     if len(x) != len(y):
-        return 0
+        return int(min(len(p), len(q)) >= 12 and abs(len(p) - len(q)) <= 1 and jaro_winkler(p, q) >= TITLE_JW)
+    if len(differ) == 1:
+        u, v = differ[0]
+        if min(len(u), len(v)) >= 5 and jaro_winkler(u, v) >= WORD_JW and not _abbreviates(u, v) and not _abbreviates(v, u):
+            if _rarer(count[u], count[v]) or min(na, nb) * RARER <= max(na, nb):
+                return 1
     if all(_abbreviates(u, v) for u, v in differ):
         return 2
     if all(_abbreviates(v, u) for u, v in differ):
@@ -372,10 +377,14 @@ def _clusters(nodes: DataFrame, sure: DataFrame, fits: list[DataFrame], name: st
 
 
 def _pairs_in_blocks(blocked: DataFrame, cols: list[str]) -> DataFrame:
-    """Distinct pairs of nodes that share a block key, each with both nodes' columns suffixed 1 and 2."""
-    left = blocked.select("key", *[F.col(c).alias(c + "1") for c in cols])
-    right = blocked.select("key", *[F.col(c).alias(c + "2") for c in cols])
-    return left.join(right, "key").where("node1 < node2").drop("key").distinct()
+    """Distinct pairs of nodes that share a block key, each with both nodes' columns suffixed 1 and 2.
+
+    ``side`` tells what is compared: BOTH with each other, INITIAL (first) with FULL.
+    """
+    left = blocked.where(F.col("side") != FULL).select("key", F.col("side").alias("sl"), *[F.col(c).alias(c + "1") for c in cols])
+    right = blocked.where(F.col("side") != INITIAL).select("key", F.col("side").alias("sr"), *[F.col(c).alias(c + "2") for c in cols])
+    met = left.join(right, "key").where((F.col("sl") == INITIAL) & (F.col("sr") == FULL) | (F.col("sl") == BOTH) & (F.col("sr") == BOTH) & (F.col("node1") < F.col("node2")))
+    return met.drop("key", "sl", "sr").distinct()
 
 
 def link_persons(names: DataFrame) -> DataFrame:
@@ -413,16 +422,16 @@ def link_persons(names: DataFrame) -> DataFrame:
     nodes = read.select("node", "surname", "given", "middle").distinct().join(surname_n, "surname").join(given_n, "given")
     nodes = materialize(nodes, "person-nodes")
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<struct<key:string,side:int>>")
     def keys(s: pd.Series, g: pd.Series) -> pd.Series:
-        return pd.Series([person_keys(a, b) for a, b in zip(s, g, strict=True)])
+        return pd.Series([[{"key": k, "side": x} for k, x in person_keys(a, b)] for a, b in zip(s, g, strict=True)])
 
     @F.pandas_udf("int")
     def compare(s1: pd.Series, g1: pd.Series, m1: pd.Series, a1: pd.Series, b1: pd.Series, s2: pd.Series, g2: pd.Series, m2: pd.Series, a2: pd.Series, b2: pd.Series) -> pd.Series:
         return pd.Series([compare_persons(*x) for x in zip(s1, g1, m1, a1, b1, s2, g2, m2, a2, b2, strict=True)], dtype="int32")
 
     cols = ["node", "surname", "given", "middle", "ns", "ng"]
-    pairs = _pairs_in_blocks(nodes.withColumn("key", F.explode(keys("surname", "given"))), cols)
+    pairs = _pairs_in_blocks(nodes.withColumn("k", F.explode(keys("surname", "given"))).select(*cols, "k.key", "k.side"), cols)
     args = [c + i for i in "12" for c in ("surname", "given", "middle", "ns", "ng")]
     judged = materialize(pairs.select("node1", "node2", compare(*args).alias("same")).where("same > 0"), "person-links")
     full = judged.where("same = 1")
@@ -448,7 +457,7 @@ def link_journals(names: DataFrame) -> DataFrame:
     """(name, cluster) of every journal spelling in (name, n).
 
     Case, accents, punctuation, small words and a turned order ("X, Archives of") make no difference; a
-    slip of one character is accepted towards a much more frequent title; an abbreviation joins the one
+    slip is accepted by Jaro-Winkler similarity towards a much more frequent word or title; an abbreviation joins the one
     title that it can stand for. Null and empty titles give no row.
     """
 
@@ -471,7 +480,7 @@ def link_journals(names: DataFrame) -> DataFrame:
     counts = words.groupBy("w").agg(F.countDistinct("node").cast("int").alias("c"))
     c = words.join(counts, "w").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "c"))), lambda x: x["c"]).alias("c"))
     nodes = materialize(c.join(read.groupBy("node").agg(F.sum("n").alias("n")), "node"), "journal-nodes")
-    pairs = _pairs_in_blocks(nodes.withColumn("key", F.explode(keys("node"))), ["node", "c", "n"])
+    pairs = _pairs_in_blocks(nodes.withColumn("key", F.explode(keys("node"))).withColumn("side", F.lit(BOTH)), ["node", "c", "n"])
     judged = materialize(pairs.select("node1", "node2", compare("node1", "node2", "c1", "c2", "n1", "n2").alias("same")).where("same > 0"), "journal-links")
     fits = judged.where("same > 1").select(
         F.when(F.col("same") == 2, F.col("node1")).otherwise(F.col("node2")).alias("node"),
