@@ -40,13 +40,33 @@ def test_stripes_flush_and_merge(spark, monkeypatch):
     batches = [pa.RecordBatch.from_arrays([pa.array(lists[i : i + 8], pa.list_(pa.string()))], names=["items"]) for i in range(0, 40, 8)]
     got = Counter()
     for b in cooccur._stripes(iter(batches)):
-        for item, near, n in zip(*(c.to_pylist() for c in b.columns)):
+        for item, _, near, n in zip(*(c.to_pylist() for c in b.columns)):
             for x, k in zip(near, n):
                 got[item, x] += k
     want = Counter((a, b) for s in lists for i, a in enumerate(s) for b in s[i:])
     assert got == want
 
 
+def test_arrays_merge_across_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    rows = sorted((f"i{rng.integers(0, 4)}", int(rng.integers(0, 3)), sorted({f"n{x}" for x in rng.integers(0, 9, 4)})) for _ in range(40))
+    want = Counter((i, b, x) for i, b, near in rows for x in near)
+    for size in (1, 3, 40):
+        got = Counter()
+        kinds = (pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()))
+        cols = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [[1] * len(r[2]) for r in rows]]
+        t = pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["item", "bucket", "neighbours", "counts"])
+        seen = []
+        for b in cooccur._merged(iter(t.to_batches(max_chunksize=size))):
+            for item, bucket, near, n in zip(*(c.to_pylist() for c in b.columns)):
+                seen.append((item, bucket))
+                for x, k in zip(near, n):
+                    got[item, bucket, x] += k
+        assert got == want and len(seen) == len(set(seen))
+
+
 def test_items_and_empty_tables(spark):
     df = spark.createDataFrame(
         [("1", ["*Heart  Attack/therapy", " heart attack ", None, "/x"], ["a ; B", "b"]), ("2", None, None), (None, ["q"], ["q"])],
