@@ -98,8 +98,9 @@ def _groups(sentences: Column, model: Provider, percentile: float) -> Column:
             for x in docs:
                 u = v[at : at + len(x)]
                 at += len(x)
-                sim = (u[:-1] * u[1:]).sum(1)
-                ends = np.flatnonzero(sim < np.percentile(sim, 100 - percentile)) + 1 if len(sim) else []
+                # rounded, so that equal similarities stay equal however they were added up
+                sim = np.round((u[:-1] * u[1:]).sum(1), 9)
+                ends = np.flatnonzero(sim < np.round(np.percentile(sim, 100 - percentile), 9)) + 1 if len(sim) else []
                 edges = [0, *ends, len(x)]
                 out.append([x[i:j] for i, j in pairwise(edges) if j > i])
             yield pa.array(out, pa.list_(pa.list_(pa.string())))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpuslane.functions.text import word_set
@@ -76,6 +78,29 @@ def lexical_score(query: Column, text: Column) -> Column:
     return F.when(both > 0, 2.0 * both / (F.size(q) + F.size(t))).otherwise(0.0)
 
 
+def cross_encoder(model: Callable[[list[tuple[str, str]]], list[float]], batch: int = 32):
+    """A scorer for :func:`rerank` around a model that scores lists of (query, text) pairs, ``batch`` pairs at a time.
+
+    ``model`` is pickled to the workers once per task and kept there over Arrow batches. Nulls count as empty.
+    """
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for q, t in batches:
+            pairs = [(a or "", b or "") for a, b in zip(q.to_pylist(), t.to_pylist(), strict=True)]
+            yield pa.array([float(x) for k in range(0, len(pairs), batch) for x in model(pairs[k : k + batch])], pa.float64())
+
+    return score
+
+
+def telemetry(hits: DataFrame, name: str = "retrieval") -> tuple[DataFrame, Observation]:
+    """``hits`` with counters that are filled by the first action on them: rows, queries (approximate), best and mean score."""
+    seen = Observation(name)
+    score = F.col("score") if "score" in hits.columns else F.lit(None).cast("double")
+    counts = (F.count("*").alias("rows"), F.approx_count_distinct("query_id").alias("queries"), F.max(score).alias("best_score"), F.avg(score).alias("mean_score"))
+    return hits.observe(seen, *counts), seen
+
+
 def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int = 10, scorer=lexical_score) -> DataFrame:
     """The ``k`` hits per query of the highest ``scorer(query text, document text)``; ties keep the order they had.
 
@@ -93,15 +118,38 @@ def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int = 10, sc
 class Retriever:
     """Hybrid retrieval for whole tables of queries.
 
-    ``docs``: (doc_id, text, and columns that filters name); ``vectors``: (doc_id bigint, vector).
+    ``docs``: (doc_id, text, and columns that filters name); ``vectors``: (doc_id bigint, vector), searched
+    exactly, or an inverted file. ``query_provider`` embeds the queries if it is not the documents' provider.
+    ``concepts``, a function of the query column, adds terms of an outside source to the expansion.
     """
 
     docs: DataFrame
     index: sparse.SparseIndex
-    vectors: DataFrame
+    vectors: DataFrame | dense.InvertedFile
     provider: embedding.Provider = field(default_factory=embedding.HashingProvider)
     fetch: int = 50
     multiplier: int = 3
+    query_provider: embedding.Provider | None = None
+    rrf_k: int = RRF_K
+    dense_weight: float = DENSE_WEIGHT
+    sparse_weight: float = SPARSE_WEIGHT
+    concepts: Callable[[Column], Column] | None = None
+
+    @staticmethod
+    def from_config(config: dict, docs: DataFrame, index: sparse.SparseIndex, vectors: DataFrame | dense.InvertedFile) -> Retriever:
+        """A retriever whose settings come from a (nested) dictionary; names that it does not know are ignored."""
+        flat = {k: v for part in config.values() if isinstance(part, dict) for k, v in part.items()} | {k: v for k, v in config.items() if not isinstance(v, dict)}
+        own = {k: flat[k] for k in ("fetch", "multiplier", "rrf_k", "dense_weight", "sparse_weight") if k in flat}
+        for slot, name in (("provider", "provider"), ("query_provider", "query_provider")):
+            if flat.get(name):
+                own[slot] = embedding.provider(flat[name])
+        return Retriever(docs, index, vectors, **own)
+
+    def _dense(self, q: DataFrame, wide: int, keep: DataFrame | None) -> DataFrame:
+        v = self.vectors
+        if not isinstance(v, dense.InvertedFile):
+            return dense.flat_search(v.join(keep, "doc_id", "left_semi") if keep is not None else v, q, wide)
+        return dense.ivf_search(replace(v, rows=v.rows.join(keep, "doc_id", "left_semi")) if keep is not None else v, q, wide)
 
     def retrieve(self, queries: DataFrame, k: int = 10, conditions: dict | None = None, expansion: bool = True, reranking: bool = True, mode: str = "hybrid") -> DataFrame:
         """Best ``k`` documents per (query_id, text): filter, expand, search both sides, fuse, re-rank.
@@ -114,12 +162,13 @@ class Retriever:
         q = queries.where("text is not null")
         if mode != "dense":
             text = expand(F.col("text")) if expansion else F.col("text")
+            if expansion and self.concepts is not None:
+                text = F.concat_ws(" ", text, self.concepts(F.col("text")))
             s = sparse.search(self.index, q.select("query_id", text.alias("text")), wide, keep)
         if mode != "sparse":
-            v = self.vectors.join(keep, "doc_id", "left_semi") if keep is not None else self.vectors
-            d = dense.flat_search(v, q.select("query_id", embedding.embed(F.col("text"), self.provider).alias("vector")), wide)
+            d = self._dense(q.select("query_id", embedding.embed(F.col("text"), self.query_provider or self.provider).alias("vector")), wide, keep)
         if mode == "hybrid":
-            hits = fuse(d, s, self.fetch)
+            hits = fuse(d, s, self.fetch, self.rrf_k, self.dense_weight, self.sparse_weight)
         else:
             hits = (d if mode == "dense" else s).where(F.col("rank") <= self.fetch).withColumn("method", F.lit(mode))
         if reranking:

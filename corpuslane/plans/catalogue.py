@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpuslane.functions import text as tx
 from corpuslane.operators import benchmarks, chunking, deid, dense, embedding, generation, metrics, ner, relations, retrieval, sections, sparse, verification
-from corpuslane.plans import sql
+from corpuslane.plans import sql, sql_text
 from corpuslane.session import materialize, scratch_root, spread, table
 from corpuslane.sources import files, pubmed
 from corpuslane.streaming import audit
@@ -119,20 +119,20 @@ def note_types(s: SparkSession, d: str) -> DataFrame:
     return n.select("row_id", sections.note_type(F.trim("category")).alias("note_type"), F.year("chartdate").alias("year"))
 
 
-@query()
+@query(sql_text.NOTE_SEGMENTS)
 def note_segments(s: SparkSession, d: str) -> DataFrame:
     n = sections.clean_notes(_notes(s, d, "row_id", "category", "iserror", "text"), list(sections.SECTIONED))
     e = n.select("row_id", F.posexplode(sections.segment(F.col("text"))).alias("ord", "s"))
     return e.select("row_id", "ord", "s.section_name", "s.start_char", "s.end_char", F.md5("s.text").alias("hash"))
 
 
-@query()
+@query(sql_text.RADIOLOGY)
 def radiology_parse(s: SparkSession, d: str) -> DataFrame:
     n = sections.clean_notes(_notes(s, d, "row_id", "category", "iserror", "text"), ["Radiology"]).withColumn("s", sections.radiology_sections(F.col("text")))
     return n.select("row_id", F.size("s").alias("n_sections"), F.length(sections.radiology_impression(F.col("s"))).alias("impression_chars"))
 
 
-@query()
+@query(sql_text.NOTE_DOCUMENTS)
 def note_documents(s: SparkSession, d: str) -> DataFrame:
     n = sections.clean_notes(_notes(s, d, "row_id", "category", "iserror", "text"))
     n = n.withColumn("sections", F.when(F.trim("category").isin(*sections.SECTIONED), sections.segment(F.col("text"))))
@@ -142,20 +142,20 @@ def note_documents(s: SparkSession, d: str) -> DataFrame:
 # chunks -------------------------------------------------------------------------------------------
 
 
-@query()
+@query(sql_text.CHUNKS_SENTENCE)
 def chunks_sentence(s: SparkSession, d: str) -> DataFrame:
     c = chunking.sentence_chunks(_docs(s, d), 128, 24, 10)
     return c.select("chunk_id", "doc_id", "chunk_index", "token_count", "char_start", "char_end", F.md5("text").alias("hash"))
 
 
-@query()
+@query(sql_text.CHUNKS_SEMANTIC)
 def chunks_semantic(s: SparkSession, d: str) -> DataFrame:
     model = embedding.HashingProvider(16, False, "hashing-16")
     c = chunking.semantic_chunks(_docs(s, d), model, 85.0, 128, 10, 24)
     return c.select("doc_id", "chunk_index", "token_count", F.md5("text").alias("hash"))
 
 
-@query()
+@query(sql_text.CHUNKS_SECTION)
 def chunks_section(s: SparkSession, d: str) -> DataFrame:
     n = table(s, d, "note_sections").select(F.col("note_row_id").alias("doc_id"), F.col("section_id").alias("ord"), F.coalesce("section_name", F.lit("")).alias("section_name"), "text")
     c = chunking.section_chunks(n, 64, 16, 10)
@@ -210,25 +210,38 @@ def dense_topk_filtered(s: SparkSession, d: str) -> DataFrame:
     return dense.flat_search(v.where(dense.metadata_filter({"label": [1, 2, 3, 5, 8], "label_gte": 2})), q, k=10)
 
 
-#: Of 16 cells; the vectors hardly cluster, and recall has to reach 0.9.
-NPROBE = 11
-
-
 @query()
 def ivf_topk(s: SparkSession, d: str) -> DataFrame:
     v, q = _vectors(s, d)
-    return dense.ivf_search(dense.build_ivf(v, 16), q, 10, NPROBE)
+    return dense.ivf_search(dense.build_ivf(v), q, 10)
 
 
-@query()
+@query("select true as enough, (select count(*) from embeddings where vec_id % 20 = 0) * 10 as hits")
 def ivf_recall(s: SparkSession, d: str) -> DataFrame:
-    """Recall of the inverted file against exact search; at least 0.9."""
+    """Whether the inverted file finds at least 0.9 of the hits of exact search."""
     v, q = _vectors(s, d)
-    r = dense.recall(dense.ivf_search(dense.build_ivf(v, 16), q, 10, NPROBE), dense.flat_search(v, q, k=10))
-    return r.select(r6("recall"), "hits")
+    r = dense.recall(dense.ivf_search(dense.build_ivf(v), q, 10), dense.flat_search(v, q, k=10))
+    return r.select((F.col("recall") >= 0.9).alias("enough"), "hits")
+
+
+def _lsh(s: SparkSession, d: str) -> DataFrame:
+    v, q = _vectors(s, d)
+    return dense.lsh_search(v, q, dense.Hyperplanes(64, tables=8, bits=dense.bits_for(v.count())), 10)
 
 
 @query()
+def lsh_topk(s: SparkSession, d: str) -> DataFrame:
+    return _lsh(s, d)
+
+
+@query("select true as enough, (select count(*) from embeddings where vec_id % 20 = 0) * 10 as hits")
+def lsh_recall(s: SparkSession, d: str) -> DataFrame:
+    """Whether hyperplane hashing finds at least 0.9 of the hits of exact search."""
+    r = dense.recall(_lsh(s, d), dense.flat_search(*_vectors(s, d), k=10, unit=True))
+    return r.select((F.col("recall") >= 0.9).alias("enough"), "hits")
+
+
+@query(sql_text.COMPARE)
 def compare_embedders(s: SparkSession, d: str) -> DataFrame:
     """Which of two providers brings a question nearest to its own passage."""
     e = table(s, d, "eval_items")
@@ -237,7 +250,7 @@ def compare_embedders(s: SparkSession, d: str) -> DataFrame:
         m = embedding.HashingProvider(dim, False, f"hashing-{dim}")
         v = e.select(F.col("item_id").alias("doc_id"), embedding.embed(F.col("passage"), m).alias("vector"))
         q = e.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), embedding.embed(F.col("question"), m).alias("vector"))
-        h = dense.flat_search(v, q, k=1000, unit=True).select(F.lit(m.name).alias("provider"), "query_id", "doc_id", (F.col("query_id") == F.col("doc_id")).alias("right"), "score")
+        h = dense.flat_search(v, q, k=e.count(), unit=True).select(F.lit(m.name).alias("provider"), "query_id", "doc_id", (F.col("query_id") == F.col("doc_id")).alias("right"), "score")
         out = h if out is None else out.unionByName(h)
     return embedding.compare_providers(out).select("provider", r6("mrr"), r6("avg_sim"))
 
@@ -303,12 +316,12 @@ def query_expansion(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "eval_items").select("item_id", retrieval.expand(q).alias("expanded"))
 
 
-@query()
+@query(sql_text.RETRIEVE)
 def hybrid_retrieve(s: SparkSession, d: str) -> DataFrame:
     """The whole retrieval plan over documents, English only."""
     docs = table(s, d, "documents").select("doc_id", "text", "lang")
-    v = docs.select("doc_id", embedding.embed(F.col("text"), embedding.HashingProvider()).alias("vector"))
-    r = retrieval.Retriever(docs, _index(s, d), v).retrieve(_questions(s, d), 10, {"lang": "en"})
+    v = docs.select("doc_id", embedding.embed(F.col("text"), _MODEL).alias("vector"))
+    r = retrieval.Retriever(docs, _index(s, d), v, _MODEL).retrieve(_questions(s, d), 10, {"lang": "en"})
     return r.select("query_id", "doc_id", r6("rerank_score"), "rank", "method")
 
 
@@ -376,7 +389,7 @@ def context_format(s: SparkSession, d: str) -> DataFrame:
     return generation.format_context(_context(s, d)).select("query_id", F.md5("context").alias("hash"), "n_citations")
 
 
-@query()
+@query(sql_text.ANSWERS)
 def answers(s: SparkSession, d: str) -> DataFrame:
     g = generation.generate(generation.format_context(_context(s, d)), _questions(s, d))
     return g.select("query_id", F.md5("answer").alias("hash"), "confidence", "n_citations")
@@ -420,12 +433,12 @@ def faithfulness(s: SparkSession, d: str) -> DataFrame:
     return r.select("answer_id", "claims", "supported", "contradicted", "neutral", r6("faithfulness"))
 
 
-@query()
+@query(sql_text.CLAIM_LABELS)
 def claim_labels(s: SparkSession, d: str) -> DataFrame:
     return _verified(s, d).select("answer_id", "claim_id", "label", r6("score"), "passage_id")
 
 
-@query()
+@query(sql_text.CITATIONS)
 def citation_accuracy(s: SparkSession, d: str) -> DataFrame:
     ev = _evidence(s, d).withColumnRenamed("item_id", "answer_id")
     n = F.row_number().over(Window.partitionBy("answer_id").orderBy("passage_id"))
@@ -434,7 +447,7 @@ def citation_accuracy(s: SparkSession, d: str) -> DataFrame:
     return r.select("answer_id", "citations", "supported", r6("accuracy"))
 
 
-@query()
+@query(sql_text.CONSISTENCY)
 def self_consistency(s: SparkSession, d: str) -> DataFrame:
     ev = _evidence(s, d).select(F.col("item_id").alias("answer_id"), F.col("passage_id").alias("sample_id"), "text")
     r = verification.self_consistency(verification.claims(_answers(s, d)), ev, threshold=0.3)
@@ -451,22 +464,22 @@ def _entities(s: SparkSession, d: str) -> DataFrame:
     return ner.gazetteer(spread(table(s, d, "chunks").select(F.col("chunk_id").alias("doc_id"), "text")), terms.select(term.alias("term"), kind.alias("type")))
 
 
-@query()
+@query(sql_text.NER)
 def ner_gazetteer(s: SparkSession, d: str) -> DataFrame:
     return _entities(s, d)
 
 
-@query()
+@query(sql_text.NER_OVERLAP)
 def ner_overlap(s: SparkSession, d: str) -> DataFrame:
     return ner.ensemble([_entities(s, d)])
 
 
-@query()
+@query(sql_text.NER_STRUCTURED)
 def ner_structured(s: SparkSession, d: str) -> DataFrame:
     return ner.by_type(_entities(s, d))
 
 
-@query()
+@query(sql_text.NER_COUNTS)
 def ner_counts(s: SparkSession, d: str) -> DataFrame:
     return ner.type_counts(_entities(s, d))
 
@@ -480,7 +493,7 @@ def rel_ddi(s: SparkSession, d: str) -> DataFrame:
     return relations.drug_interactions(_abstracts(s, d)).select("doc_id", F.lower("subject").alias("subject"), F.lower("object").alias("object"), "kind", "confidence")
 
 
-@query()
+@query(sql_text.REL_ADR)
 def rel_adr(s: SparkSession, d: str) -> DataFrame:
     return relations.adverse_reactions(_abstracts(s, d)).drop("start")
 
@@ -490,12 +503,12 @@ def rel_gene_disease(s: SparkSession, d: str) -> DataFrame:
     return relations.gene_diseases(_abstracts(s, d)).select("doc_id", "subject", "object", "kind", "confidence")
 
 
-@query()
+@query(sql_text.REL_GRAPH)
 def rel_graph(s: SparkSession, d: str) -> DataFrame:
     return relations.graph_edges(relations.all_relations(_abstracts(s, d)))
 
 
-@query()
+@query(sql_text.ENTITY_PAIRS)
 def rel_entity_pairs(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "chunks").select(F.col("chunk_id").alias("doc_id"), "text")
     return relations.entity_pairs(docs, _entities(s, d)).select("doc_id", "pos", "first", "second", F.md5("marked").alias("hash"))

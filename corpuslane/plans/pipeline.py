@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslane.functions.text import clean_whitespace
 from corpuslane.operators import benchmarks, chunking, deid, dense, embedding, generation, metrics, relations, retrieval, sections, sparse, verification
-from corpuslane.session import materialize
+from corpuslane.session import materialize, release
 from corpuslane.sources import files, pubmed
 
 
@@ -22,6 +22,11 @@ class Settings:
     min_chunk_size: int = 50
     method: str = "sentence"
     provider: str = "hashing-64"
+    query_provider: str = ""
+    index_type: str = ""
+    rrf_k: int = retrieval.RRF_K
+    dense_weight: float = retrieval.DENSE_WEIGHT
+    sparse_weight: float = retrieval.SPARSE_WEIGHT
     top_k: int = 10
     fetch: int = 50
     context_chunks: int = 8
@@ -56,14 +61,25 @@ def ingest_notes(notes: DataFrame, s: Settings = Settings(), categories: list[st
 
 
 def _chunks(docs: DataFrame, s: Settings) -> DataFrame:
+    """Chunks by the method that the settings name; an unknown name raises."""
+    options = {"overlap": s.overlap}
     if s.method == "semantic":
-        c = chunking.semantic_chunks(docs, embedding.provider(s.provider), max_tokens=s.chunk_size, min_tokens=s.min_chunk_size, overlap=s.overlap)
-        return c.withColumn("chunk_id", F.concat_ws("_chunk_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
-    return chunking.sentence_chunks(docs, s.chunk_size, s.overlap, s.min_chunk_size)
+        c = chunking.chunk(docs, "semantic", embedding.provider(s.provider), max_tokens=s.chunk_size, min_tokens=s.min_chunk_size, **options)
+    elif s.method == "section":
+        # a document is one section of its note or article; pieces are numbered through per document
+        name = F.col("section") if "section" in docs.columns else F.lit("text")
+        parts = docs.select("doc_id", F.lit(0).alias("ord"), F.coalesce(name, F.lit("text")).alias("section_name"), "text")
+        c = chunking.chunk(parts, "section", chunk_size=s.chunk_size, min_chunk_size=s.min_chunk_size, **options).drop("ord", "section_name")
+    else:
+        return chunking.chunk(docs, s.method, chunk_size=s.chunk_size, min_chunk_size=s.min_chunk_size, **options)
+    return c.withColumn("chunk_id", F.concat_ws("_chunk_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
+
 
+def build_index(chunks: DataFrame, path: str, s: Settings = Settings(), cells: int | None = None) -> None:
+    """Write a hybrid index of (chunk_id, text, ...): postings, vectors, chunks, manifest.
 
-def build_index(chunks: DataFrame, path: str, s: Settings = Settings(), cells: int = 16) -> None:
-    """Write a hybrid index of (chunk_id, text, ...): postings, vectors (in cells beyond 50 000 rows), chunks, manifest."""
+    Vectors lie in cells if ``s.index_type`` is ``ivf``, or if it is empty and there are more than 50 000.
+    """
     spark = chunks.sparkSession
     c = materialize(chunks.withColumn("num", F.xxhash64("chunk_id")), "index-chunks")
     c.write.mode("overwrite").parquet(f"{path}/chunks")
@@ -71,20 +87,28 @@ def build_index(chunks: DataFrame, path: str, s: Settings = Settings(), cells: i
     model = embedding.provider(s.provider)
     v = c.select(F.col("num").alias("doc_id"), embedding.embed(F.col("text"), model).alias("vector"))
     n = c.count()
-    kind = dense.choose_index(n)
+    kind = s.index_type or dense.choose_index(n)
     if kind == "ivf":
+        v = materialize(v, "index-vectors")
         dense.build_ivf(v, cells).save(f"{path}/dense")
-    else:
+        release(v)
+    elif kind == "flat":
         v.write.mode("overwrite").parquet(f"{path}/dense/rows")
-    files.write_manifest(spark, f"{path}/manifest", model_name=model.name, embedding_dim=model.dim, num_documents=n, index_type=kind, config=asdict(s) | {"rrf_k": retrieval.RRF_K, "dense_weight": retrieval.DENSE_WEIGHT, "sparse_weight": retrieval.SPARSE_WEIGHT})
+    else:
+        raise ValueError(f"unknown index type {kind!r}")
+    files.write_manifest(spark, f"{path}/manifest", model_name=model.name, embedding_dim=model.dim, num_documents=n, index_type=kind, config=asdict(s))
+    release(c)
 
 
 def load_index(spark: SparkSession, path: str) -> retrieval.Retriever:
-    """The retriever over an index written by :func:`build_index`."""
+    """The retriever over an index written by :func:`build_index`: its kind of index, providers, weights and sizes come from the manifest."""
     m = files.read_manifest(spark, f"{path}/manifest")
     docs = spark.read.parquet(f"{path}/chunks").withColumn("doc_id", F.col("num"))
-    vectors = spark.read.parquet(f"{path}/dense/rows").select("doc_id", "vector")
-    return retrieval.Retriever(docs, sparse.SparseIndex.load(spark, f"{path}/sparse"), vectors, embedding.provider(m["model_name"]), m["config"]["fetch"])
+    if m["index_type"] == "ivf":
+        vectors = dense.InvertedFile.load(spark, f"{path}/dense")
+    else:
+        vectors = spark.read.parquet(f"{path}/dense/rows").select("doc_id", "vector")
+    return retrieval.Retriever.from_config(m["config"] | {"provider": m["model_name"]}, docs, sparse.SparseIndex.load(spark, f"{path}/sparse"), vectors)
 
 
 def answer(r: retrieval.Retriever, queries: DataFrame, s: Settings = Settings(), task: str = "clinical_qa", conditions: dict | None = None, check: bool = False, reranking: bool = True) -> DataFrame:
@@ -103,9 +127,9 @@ def answer(r: retrieval.Retriever, queries: DataFrame, s: Settings = Settings(),
 
 
 def literature_review(r: retrieval.Retriever, queries: DataFrame, most: int = 20, first: int | None = None, last: int | None = None, s: Settings = Settings()) -> DataFrame:
-    """Answers in the style of a review, over articles of a span of years."""
+    """Answers in the style of a review, over articles of a span of years, from the best ``most`` passages of each query."""
     cond = {k: v for k, v in (("pub_year_gte", first), ("pub_year_lte", last)) if v is not None}
-    wide = Settings(**(asdict(s) | {"top_k": min(most, 20)}))
+    wide = Settings(**(asdict(s) | {"top_k": most, "fetch": max(most, s.fetch)}))
     return answer(r, queries, wide, "literature_synthesis", cond or None)
 
 
