@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that sparse retrieval leaves out.
+# Words that sparse retrieval leaves out; they have to be these for equal scores.
 CLINICAL_STOPWORDS = (
-    "a", "an", "and", "are", "been", "care", "clinical", "condition", "diagnosis", "disease", "for", "had", "has", "have", "health",
-    "history", "hospital", "in", "is", "medical", "no", "not", "noted", "of", "patient", "patients", "presented", "reported", "symptoms",
-    "that", "the", "this", "to", "treatment", "was", "were", "with",
+    "patient", "patients", "history", "diagnosis", "treatment", "clinical", "medical", "hospital", "care", "health", "disease", "condition",
+    "symptoms", "reported", "noted", "presented", "was", "were", "the", "and", "of", "in", "to", "a", "an", "is", "are", "for", "with",
+    "that", "this", "has", "have", "had", "been", "not", "no",
 )
 
-# Abbreviations after which no sentence ends.
+# Abbreviations after which no sentence ends; they have to be these for equal sentences.
 ABBREVIATIONS = (
-    "approx.", "b.i.d.", "cf.", "cm.", "dept.", "div.", "dl.", "dr.", "e.g.", "et al.", "excl.", "fig.", "hr.", "ht.", "i.a.", "i.e.", "i.m.", "i.p.",
-    "i.t.", "i.v.", "incl.", "jr.", "kg.", "max.", "mg.", "min.", "ml.", "mm.", "mr.", "mrs.", "ms.", "no.", "p.o.", "p.r.n.", "prof.", "pt.", "pts.",
-    "q.d.", "q.i.d.", "resp.", "s.c.", "s.l.", "sr.", "t.i.d.", "temp.", "vol.", "vs.", "wt.",
+    "q.d.", "q.i.d.", "t.i.d.", "b.i.d.", "p.r.n.", "p.o.", "s.l.", "i.v.", "i.m.", "s.c.", "i.t.", "i.a.", "i.p.",
+    "dr.", "mr.", "mrs.", "ms.", "prof.", "jr.", "sr.", "fig.", "et al.", "e.g.", "i.e.", "cf.", "vs.",
+    "resp.", "temp.", "approx.", "incl.", "excl.", "max.", "min.", "dept.", "div.", "no.", "vol.", "pt.", "pts.", "wt.", "ht.",
+    "mg.", "ml.", "dl.", "kg.", "cm.", "mm.", "hr.",
 )
 
 

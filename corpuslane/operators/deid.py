@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_MONTH = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 _CAP = "[A-Z][a-z]+"
 
 # Identifier patterns, in the order in which they apply. Case is ignored.
@@ -16,7 +15,7 @@ PHI_PATTERNS: dict[str, str] = {
     "zip_code": r"\b\d{5}(?:-\d{4})?\b",
     "city_state": rf"\b{_CAP}(?:\s{_CAP})?,\s*[A-Z]{{2}}\b",
     "full_date": r"\b(?:0?[1-9]|1[0-2])[/-](?:0?[1-9]|[12]\d|3[01])[/-](?:19|20)\d{2}\b",
-    "month_day": rf"\b(?:{_MONTH})\s+\d{{1,2}}(?:,\s*\d{{4}})?\b",
+    "month_day": r"\b(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2}(?:,\s*\d{4})?\b",
     "mimic_date_placeholder": r"\[\*\*\d{4}-\d{1,2}(?:-\d{1,2})?\*\*\]",
     "phone": r"\b(?:\+1[-.\s]?)?\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}\b",
     "email": r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b",

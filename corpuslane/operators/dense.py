@@ -281,7 +281,7 @@ def lsh_search(vectors: DataFrame, queries: DataFrame, planes: Hyperplanes, k: i
     q = queries.where("vector is not null and query_id is not null").select(F.col("query_id").cast("bigint").alias("query_id"), "vector")
     out = None
     for block in _query_blocks(q, planes.tables * (planes.bits + 1) * 8):
-        ids, mat = np.array([x[0] for x in block], np.int64), _scaled(np.array([x[1] for x in block], np.float64).reshape(len(block), -1))
+        ids, mat = np.array([x[0] for x in block], np.int64), _scaled(np.array([x[1] for x in block], np.float64).reshape(len(block), planes.dim))
         probed = planes.codes(mat, True) if len(block) else np.empty((0, planes.tables, 1), np.int64)
         shared = v.sparkSession.sparkContext.broadcast((ids, mat, probed))
 

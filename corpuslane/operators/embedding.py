@@ -81,7 +81,11 @@ _WORD = re.compile(r"[a-z0-9]+")
 _WORDS: dict[int, dict] = {}
 
 #: Providers by name; models are registered by the user.
-REGISTRY: dict[str, Callable[[], Provider]] = {"hashing-64": HashingProvider}
+REGISTRY: dict[str, Callable[[], Provider]] = {
+    "hashing-64": HashingProvider,
+    "hashing-16": lambda: HashingProvider(16, True, "hashing-16"),
+    "hashing-256": lambda: HashingProvider(256, True, "hashing-256"),
+}
 
 
 def provider(name: str) -> Provider:
@@ -130,3 +134,21 @@ def compare_providers(scores: DataFrame) -> DataFrame:
     r = F.row_number().over(Window.partitionBy("provider", "query_id").orderBy(F.desc("score"), "doc_id"))
     hit = scores.withColumn("rank", r).where("right")
     return hit.groupBy("provider").agg(F.avg(1 / F.col("rank")).alias("mrr"), F.avg("score").alias("avg_sim"))
+
+
+def contrastive_pairs(queries: DataFrame, docs: DataFrame, truth: DataFrame, negatives: DataFrame | None = None) -> DataFrame:
+    """Training pairs (query, positive, negative): each true (query_id, doc_id) once, with texts of both.
+
+    ``queries`` and ``docs``: (query_id or doc_id, text). ``negatives``, ranked hits (query_id, doc_id, rank),
+    give each pair the best-ranked document that is not true for its query; null without one. Pairs with a
+    null or empty text are left out.
+    """
+    t = truth.select("query_id", "doc_id").distinct()
+    q = queries.where("text is not null and text != ''").select("query_id", F.col("text").alias("query"))
+    d = docs.where("text is not null and text != ''").select("doc_id", "text")
+    pairs = t.join(q, "query_id").join(d.withColumnRenamed("text", "positive"), "doc_id")
+    if negatives is None:
+        return pairs.select("query", "positive", F.lit(None).cast("string").alias("negative"))
+    hard = negatives.join(t, ["query_id", "doc_id"], "left_anti").groupBy("query_id").agg(F.min_by("doc_id", F.struct("rank", "doc_id")).alias("doc_id"))
+    hard = hard.join(d.withColumnRenamed("text", "negative"), "doc_id").select("query_id", "negative")
+    return pairs.join(hard, "query_id", "left").select("query", "positive", "negative")

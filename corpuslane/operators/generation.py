@@ -110,6 +110,20 @@ class Generator(Protocol):
     def stream(self, system: str, user: str) -> Iterator[str]: ...
 
 
+def stream(model: Generator, question: str, context: str, task: str = "clinical_qa") -> Iterator[str]:
+    """Parts of one answer as the model writes them, then the disclaimer of the clinical task; without context the refusal.
+
+    One question at a time, for display; tables of questions go through :func:`generate`.
+    """
+    if not context:
+        yield REFUSAL
+        return
+    user = f"Documents:\n\n{context}\n\n---\n\nQuestion: {question}\n\nAnswer from the documents above only."
+    yield from model.stream(PROMPTS.get(task, PROMPTS["clinical_qa"]), user)
+    if task == "clinical_qa":
+        yield f"\n\n{DISCLAIMER}"
+
+
 def extractive_answer(question: Column, documents: Column, most: int = 3) -> Column:
     """Default answer: of each of the first ``most`` documents (n, text) the first sentence, cited."""
     parts = F.transform(

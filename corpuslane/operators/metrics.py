@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import re
+from collections import Counter
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslane.functions.text import ngrams, sentences_plain, word_set
+from corpuslane.operators.embedding import Provider
 
 
 def retrieval_metrics(ranked: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
@@ -77,28 +82,91 @@ def rouge_sets(hypothesis: Column, reference: Column) -> Column:
 
 
 def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
-
-
-def rouge(hypothesis: Column, reference: Column) -> Column:
-    """ROUGE-1, -2 (clipped counts) and -L (longest common subsequence) as F1, words of letters and digits, unstemmed."""
-    import re
-    from collections import Counter
+    """Length of the longest common subsequence, by bits: one addition of long integers per word of ``b``."""
+    at: dict[str, int] = {}
+    for k, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << k
+    every = (1 << len(a)) - 1
+    v = every
+    for y in b:
+        hit = v & at.get(y, 0)
+        v = ((v + hit) | (v - hit)) & every
+    return len(a) - v.bit_count()
+
+
+def _measure(w: str) -> int:
+    """How often a vowel is followed by a consonant."""
+    return len(re.findall(r"[aeiouy]+[^aeiouy]", re.sub(r"(?:^|(?<=[aeiou]))y", "Y", w)))
+
+
+def _vowel(w: str) -> bool:
+    return bool(re.search(r"[aeiou]|(?<=[^aeiou])y", w))
+
+
+def _short(w: str) -> bool:
+    """Whether a stem ends consonant, vowel, consonant, the last being none of w, x, y."""
+    return bool(re.search(r"(?:^|[^aeiou])[aeiouy][^aeiouwxy]$", w)) and len(w) > 2
+
+
+# The suffixes of the second, third and fourth step of Porter's stemmer.
+_STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
+_STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
+_STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
+
+
+@functools.lru_cache(maxsize=100_000)
+def stem(w: str) -> str:
+    """Porter's stemmer; words of up to three letters stay."""
+    if len(w) <= 3:
+        return w
+    if w.endswith(("sses", "ies")):
+        w = w[:-2]
+    elif w.endswith("s") and not w.endswith("ss"):
+        w = w[:-1]
+    if w.endswith("eed"):
+        w = w[:-1] if _measure(w[:-3]) else w
+    else:
+        m = re.match(r"(.*)(?:ed|ing)$", w)
+        if m and _vowel(m[1]):
+            w = m[1]
+            if w.endswith(("at", "bl", "iz")) or _measure(w) == 1 and _short(w):
+                w += "e"
+            elif re.search(r"([^aeioulsz])\1$", w):
+                w = w[:-1]
+    if w.endswith("y") and _vowel(w[:-1]):
+        w = w[:-1] + "i"
+    for table in (_STEP2, _STEP3):
+        for pair in sorted(table.split(), key=len, reverse=True):
+            old, _, new = pair.partition(":")
+            if w.endswith(old):
+                w = w[: -len(old)] + new if _measure(w[: -len(old)]) else w
+                break
+    for old in sorted(_STEP4.split(), key=len, reverse=True):
+        if w.endswith(old):
+            base = w[: -len(old)]
+            if _measure(base) > 1 and (old != "ion" or base.endswith(("s", "t"))):
+                w = base
+            break
+    if w.endswith("e") and (_measure(w[:-1]) > 1 or _measure(w[:-1]) == 1 and not _short(w[:-1])):
+        w = w[:-1]
+    return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
+
+
+def rouge(hypothesis: Column, reference: Column, stemmed: bool = True) -> Column:
+    """ROUGE-1, -2 (clipped counts) and -L (longest common subsequence) as F1; words are runs of letters and digits, ``stemmed`` by Porter's rules."""
 
     def f1(hit: int, a: int, b: int) -> float:
         return 2 * hit / (a + b) if hit else 0.0
 
+    def words(t: str | None) -> list[str]:
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        return [stem(x) for x in w] if stemmed else w
+
     @F.pandas_udf("struct<rouge1:double,rouge2:double,rougeL:double>")
     def run(h: pd.Series, r: pd.Series) -> pd.DataFrame:
         out = []
         for x, y in zip(h, r, strict=True):
-            a, b = re.findall(r"[^\W_]+", (x or "").lower()), re.findall(r"[^\W_]+", (y or "").lower())
+            a, b = words(x), words(y)
             two = [Counter(zip(t, t[1:], strict=False)) for t in (a, b)]
             out.append(
                 (
@@ -112,6 +180,33 @@ def rouge(hypothesis: Column, reference: Column) -> Column:
     return run(hypothesis, reference)
 
 
+def embedding_score(hypothesis: Column, reference: Column, model: Provider) -> Column:
+    """Precision, recall and F1 of two texts by their words' vectors: each word counts its best cosine on the other side, at least 0.
+
+    ``model`` is any embedder; with a contextual one this is the greedy matching of the usual embedding
+    score. Null counts as empty; an empty side gives 0.
+    """
+
+    def unit(words: list[str]) -> np.ndarray:
+        v = np.asarray(model.encode(words), np.float64)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-8)
+
+    @F.pandas_udf("struct<precision:double,recall:double,f1:double>")
+    def run(h: pd.Series, r: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y in zip(h, r, strict=True):
+            a, b = re.findall(r"[^\W_]+", (x or "").lower()), re.findall(r"[^\W_]+", (y or "").lower())
+            if not a or not b:
+                out.append((0.0, 0.0, 0.0))
+                continue
+            s = np.maximum(unit(a) @ unit(b).T, 0.0)
+            p, q = float(s.max(1).mean()), float(s.max(0).mean())
+            out.append((p, q, 2 * p * q / (p + q) if p + q else 0.0))
+        return pd.DataFrame(out, columns=["precision", "recall", "f1"])
+
+    return run(hypothesis, reference)
+
+
 def _share(a: Column, b: Column, empty: float) -> Column:
     return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(F.lit(empty))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,6 +104,24 @@ def entity_pairs(docs: DataFrame, entities: DataFrame, a: str = "DRUG", b: str =
     return p.select("doc_id", "pos", "sentence", "first", "second", marked.alias("marked"))
 
 
+def classify_pairs(pairs: DataFrame, model: Callable[[list[str]], list[tuple[str, float]]], least: float = 0.5, none: str = "negative", batch: int = 32) -> DataFrame:
+    """Relations (doc_id, subject, object, kind, confidence, evidence) that a classifier of marked sentences finds in :func:`entity_pairs`.
+
+    ``model`` maps marked sentences to (kind, confidence), ``batch`` at a time; the kind ``none`` and those
+    under ``least`` are left out.
+    """
+
+    @F.arrow_udf("struct<kind:string,confidence:double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            texts = [t or "" for t in b.to_pylist()]
+            found = [x for k in range(0, len(texts), batch) for x in model(texts[k : k + batch])]
+            yield pa.array([{"kind": k, "confidence": float(c)} for k, c in found], pa.struct([("kind", pa.string()), ("confidence", pa.float64())]))
+
+    d = pairs.withColumn("_r", run.asNondeterministic()(F.col("marked"))).where((F.col("_r.kind") != none) & (F.col("_r.confidence") >= least))
+    return d.select("doc_id", F.col("first").alias("subject"), F.col("second").alias("object"), "_r.kind", "_r.confidence", F.col("sentence").alias("evidence"))
+
+
 def all_relations(docs: DataFrame) -> DataFrame:
     """Relations of the three extractors: (relation, doc_id, subject, object, kind, confidence, evidence)."""
     cols = ["doc_id", "subject", "object", "kind", "confidence", "evidence"]

@@ -29,11 +29,11 @@ SECTION_HEADERS: dict[str, str] = {
 }
 RADIOLOGY_HEADERS = ("examination", "indication", "technique", "comparison", "findings", "impression")
 
-# Note categories.
+# Note categories; they have to be these for equal types.
 NOTE_TYPES = {
-    "Case Management": "case_management", "Consult": "consult", "Discharge summary": "discharge_summary", "ECG": "ecg", "Echo": "echo",
-    "General": "general", "Nursing": "nursing", "Nursing/other": "nursing_other", "Nutrition": "nutrition", "Pharmacy": "pharmacy",
-    "Physician": "physician", "Radiology": "radiology", "Rehab Services": "rehab", "Respiratory": "respiratory", "Social Work": "social_work",
+    "Discharge summary": "discharge_summary", "Radiology": "radiology", "Nursing": "nursing", "Nursing/other": "nursing_other",
+    "Physician": "physician", "ECG": "ecg", "Echo": "echo", "Respiratory": "respiratory", "Nutrition": "nutrition", "Rehab Services": "rehab",
+    "Social Work": "social_work", "Case Management": "case_management", "Pharmacy": "pharmacy", "Consult": "consult", "General": "general",
 }
 SECTIONED = ("Discharge summary", "Physician")
 

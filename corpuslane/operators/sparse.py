@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from corpuslane.functions.text import bm25_tokens
 
-#: Terms in more than 1/HOT of all postings, of which there are at most HOT, are joined from a broadcast query side anyway.
 K1, B = 1.5, 0.75
+#: Rows of query terms up to which they are sent to the postings; beyond, the two are shuffled by term and a share of the document.
+QUERY_TERMS = 100_000
+#: Parts into which a term's postings are spread in that shuffle, so that a frequent term is no single task.
+SPREAD = 16
 
 
 @dataclass
@@ -66,12 +69,18 @@ def search(index: SparseIndex, queries: DataFrame, k: int = 10, keep: DataFrame
 
     A query's token counts as often as it occurs. ``keep`` (doc_id) restricts the documents before they
     are ranked. Only scores above 0 come out; ties go by doc_id. The queries' terms are joined to the
-    postings, so documents without any of them are never scored.
+    postings, so documents without any of them are never scored; up to ``QUERY_TERMS`` of them are broadcast.
     """
     q = queries.where(F.col("text").isNotNull()).select("query_id", F.explode(bm25_tokens(F.col("text"))).alias("term"))
     q = q.groupBy("query_id", "term").agg(F.count("*").alias("qtf")).join(index.terms.select("term", "idf"), "term")
     p = index.postings.join(keep.select("doc_id").distinct(), "doc_id", "left_semi") if keep is not None else index.postings
-    s = p.join(q, "term").join(F.broadcast(index.stats.select("avgdl")))
+    few = q.limit(QUERY_TERMS + 1).count() <= QUERY_TERMS
+    if few:
+        met = p.join(F.broadcast(q), "term")
+    else:
+        parts = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        met = p.withColumn("part", F.pmod(F.hash("doc_id"), F.lit(SPREAD))).join(parts, ["term", "part"]).drop("part")
+    s = met.join(F.broadcast(index.stats.select("avgdl")))
     w = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     r = s.groupBy("query_id", "doc_id").agg(F.sum(w).alias("score")).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))

@@ -37,6 +37,13 @@ def claims_from_json(text: Column, most: int = 20) -> Column:
     return F.filter(a, lambda s: F.trim(s) != "")
 
 
+def claims_from_replies(replies: DataFrame, most: int = 20) -> DataFrame:
+    """(answer_id, claim_id, claim) of (answer_id, text, reply): the claims that a model listed in ``reply``, else, where it holds no list, those of :func:`claims`."""
+    listed = replies.withColumn("_c", claims_from_json(F.col("reply"), most))
+    asked = listed.where("_c is not null").select("answer_id", F.posexplode("_c").alias("claim_id", "claim"))
+    return asked.unionByName(claims(listed.where("_c is null").select("answer_id", "text"), most))
+
+
 #: Share of a claim's words in a passage from which it counts as entailed, and from which it counts as contradicted if negated.
 ENTAILED, CONTRADICTED = 0.7, 0.5
 _NEGATION = r"\b(?:no|not|never|without|neither|nor|denies|denied|kein|keine|nicht|ne|pas|sin|ninguna|ninguno)\b"

@@ -325,6 +325,21 @@ def hybrid_retrieve(s: SparkSession, d: str) -> DataFrame:
     return r.select("query_id", "doc_id", r6("rerank_score"), "rank", "method")
 
 
+@query(sql_text.CONTRASTIVE)
+def contrastive_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Training pairs of questions and the abstracts they name, with the best-ranked other abstract as hard negative."""
+    e = table(s, d, "eval_items").where("item_id % 20 = 0")
+    p = table(s, d, "pubmed_abstracts").where("pmid is not null").groupBy("pmid").agg(F.max_by("abstract", "rec_id").alias("text"), F.max("rec_id").alias("doc_id"))
+    docs = p.where("text is not null and text != ''")
+    names = docs.select(F.concat(F.lit("pmid_"), "pmid").alias("name"), "doc_id")
+    truth = e.select(F.col("item_id").alias("query_id"), F.explode("relevant_doc_ids").alias("name")).join(names, "name").select("query_id", "doc_id")
+    q = e.select(F.col("item_id").alias("query_id"), F.col("question").alias("text"))
+    v = docs.select("doc_id", embedding.embed(F.col("text"), _MODEL).alias("vector"))
+    hits = dense.flat_search(v, q.select("query_id", embedding.embed(F.col("text"), _MODEL).alias("vector")), 30)
+    c = embedding.contrastive_pairs(q, docs.select("doc_id", "text"), truth, hits)
+    return c.select(*[F.md5(x).alias(x) for x in ("query", "positive", "negative")])
+
+
 # metrics ------------------------------------------------------------------------------------------
 
 
@@ -350,6 +365,21 @@ def rouge_sets(s: SparkSession, d: str) -> DataFrame:
     return p.select("rec_id", F.round("r.rouge1", 6).alias("rouge1"), F.round("r.rougeL", 6).alias("rougeL"))
 
 
+@query(sql_text.ROUGE_PLAIN)
+def rouge_ngrams(s: SparkSession, d: str) -> DataFrame:
+    """Clipped n-gram scores without stemming."""
+    p = table(s, d, "pubmed_abstracts").where("title is not null and abstract is not null").select("rec_id", metrics.rouge(F.col("title"), F.col("abstract"), stemmed=False).alias("r"))
+    return p.select("rec_id", *[F.round(f"r.{c}", 6).alias(c) for c in ("rouge1", "rouge2")])
+
+
+@query(sql_text.EMBEDDING_SCORE)
+def embedding_scores(s: SparkSession, d: str) -> DataFrame:
+    """Titles against abstracts by their words' best matches; with one coordinate per word a match is an equal coordinate and sign."""
+    p = table(s, d, "pubmed_abstracts").where("title is not null and abstract is not null")
+    r = p.select("rec_id", metrics.embedding_score(F.regexp_replace("title", r"[^\x00-\x7F]", " "), F.regexp_replace("abstract", r"[^\x00-\x7F]", " "), _MODEL).alias("r"))
+    return r.select("rec_id", *[F.round(f"r.{c}", 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
 @query()
 def rouge_full(s: SparkSession, d: str) -> DataFrame:
     p = table(s, d, "pubmed_abstracts").where("title is not null and abstract is not null").select("rec_id", metrics.rouge(F.col("title"), F.col("abstract")).alias("r"))
@@ -422,6 +452,14 @@ def claims_json(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pubmed_abstracts").select("rec_id", F.posexplode(verification.claims_from_json(t)).alias("pos", "claim"))
 
 
+@query(sql_text.CLAIM_REPLIES)
+def claims_replies(s: SparkSession, d: str) -> DataFrame:
+    """Claims that a model listed, for every second answer; the others' replies hold no list."""
+    a = _answers(s, d)
+    reply = F.when(F.col("answer_id") % 2 == 0, F.concat(F.lit("Claims: "), F.to_json(F.array(F.col("text"), F.lit("second claim"))))).otherwise("I cannot list them.")
+    return verification.claims_from_replies(a.where("text is not null").withColumn("reply", reply))
+
+
 def _verified(s: SparkSession, d: str) -> DataFrame:
     p = _evidence(s, d).withColumnRenamed("item_id", "answer_id")
     return verification.verify(verification.claims(_answers(s, d)), p)
@@ -484,6 +522,28 @@ def ner_counts(s: SparkSession, d: str) -> DataFrame:
     return ner.type_counts(_entities(s, d))
 
 
+@query(sql_text.LINKED)
+def ner_linked(s: SparkSession, d: str) -> DataFrame:
+    """Entities with the concept of the best score among equal names: here the keywords, scored by their articles."""
+    k = table(s, d, "pubmed_abstracts").where("pmid is not null").select("pmid", F.explode("keywords").alias("name")).where("name is not null")
+    c = k.groupBy("name").agg(F.countDistinct("pmid").alias("score")).select("name", F.md5("name").alias("concept_id"), F.upper("name").alias("canonical"), "score")
+    return ner.link(_entities(s, d), c).select("doc_id", "start", "end", "type", "concept_id", "concept_name")
+
+
+@query("""select doc_id, list_transform(range(len(w) * 2 + 2), lambda k: case when k = 0 or k = len(w) * 2 + 1 or k % 2 = 0 then null else case when (k + 1) // 2 % 3 = 1 then 'B-X' when (k + 1) // 2 % 3 = 2 then 'I-X' else 'O' end end) as tags
+  from (select doc_id, regexp_extract_all(text, '\\S+') as w from documents where text is not null)""")
+def subword_tags(s: SparkSession, d: str) -> DataFrame:
+    """Word tags carried over to sub-words, two per word, between two special tokens."""
+    n = F.regexp_count("text", F.lit(r"\S+"))
+    words = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    tag = F.transform(words, lambda k: F.when(k % 3 == 0, "B-X").when(k % 3 == 1, "I-X").otherwise("O"))
+    none = F.array(F.lit(None).cast("int"))
+    pieces = F.concat(none, F.flatten(F.transform(words, lambda k: F.array(k, k))), none)
+    # columns of their own, so that the arrays are built once and not for each of their elements
+    built = _docs(s, d).where("text is not null").select("doc_id", tag.alias("tag"), pieces.alias("pieces"))
+    return built.select("doc_id", ner.align_tags(F.col("tag"), F.col("pieces")).alias("tags"))
+
+
 def _abstracts(s: SparkSession, d: str) -> DataFrame:
     return spread(table(s, d, "pubmed_abstracts").where("abstract is not null").select(F.col("rec_id").alias("doc_id"), F.col("abstract").alias("text")))
 
@@ -570,6 +630,14 @@ def category_dedup(s: SparkSession, d: str) -> DataFrame:
     return u.select("pmid", "part", "rec_id")
 
 
+@query("""select pmid, part, rec_id from (select *, row_number() over (partition by pmid order by part, rec_id) as i from (
+  select distinct pmid, part, rec_id from (select pmid, rec_id, lower(trim(split_part(unnest(mesh_terms), '/', 1))) as m from pubmed_abstracts where pmid is not null)
+  join (values ('atrial fibrillation', 0), ('heart failure', 1), ('myocardial infarction', 2), ('coronary artery disease', 3), ('hypertension', 4)) t(term, part) on m = term)) where i = 1""")
+def domain_articles(s: SparkSession, d: str) -> DataFrame:
+    p = table(s, d, "pubmed_abstracts").where("pmid is not null").select("pmid", "rec_id", "mesh_terms", "pub_date")
+    return pubmed.by_domain(p, "cardiology", "rec_id").select("pmid", "part", "rec_id")
+
+
 @query("""select rec_id from pubmed_abstracts where list_contains(list_transform(mesh_terms, lambda m: lower(trim(split_part(m, '/', 1)))), 'humans')
   and regexp_matches(left(pub_date, 4), '^[0-9]{4}$') and try_cast(left(pub_date, 4) as int) between 2005 and 2015""")
 def mesh_years(s: SparkSession, d: str) -> DataFrame:

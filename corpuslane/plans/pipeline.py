@@ -158,4 +158,54 @@ def evaluate(r: retrieval.Retriever, qa: DataFrame, s: Settings = Settings()) ->
     )
 
 
-__all__ = ["Settings", "adverse_events", "answer", "benchmarks", "build_index", "evaluate", "ingest_articles", "ingest_notes", "literature_review", "load_index"]
+def report(r: retrieval.Retriever, qa: DataFrame, s: Settings = Settings(), ks: tuple[int, ...] = (1, 5, 10), generate: bool = True, judge: embedding.Provider | None = None) -> DataFrame:
+    """The full report as rows (group, metric, value) over (query_id, question, answer, relevant_doc_ids).
+
+    Groups: ``retrieval@k`` (precision, recall, ndcg, mrr), and with ``generate`` also ``generation`` (bleu, stemmed
+    rouge1, rouge2, rougeL and, with a ``judge`` embedder, bertscore_f1) and ``answers`` (faithfulness, relevance,
+    context recall and precision, overall, verified faithfulness). Questions without a reference answer count
+    in retrieval and faithfulness only.
+    """
+    q = qa.select("query_id", F.col("question").alias("text"))
+    hits = materialize(r.retrieve(q, max(s.top_k, *ks)), "report-hits")
+    named = hits.join(r.docs.select("doc_id", F.col("source_doc" if "source_doc" in r.docs.columns else "chunk_id").alias("source_id"), "text"), "doc_id")
+    truth = qa.select("query_id", F.explode("relevant_doc_ids").alias("doc_id"))
+    top = metrics.retrieval_metrics(named.select("query_id", F.col("source_id").alias("doc_id"), "rank"), truth, ks)
+    names = ("precision", "recall", "ndcg", "mrr")
+    out = top.select(F.concat(F.lit("retrieval@"), F.col("k").cast("string")).alias("group"), F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])).alias("x")).select("group", "x.*")
+    if not generate:
+        return out
+    made = materialize(answer(r, q, s, check=True).select("query_id", F.col("answer").alias("said"), F.col("faithfulness").alias("verified")), "report-answers")
+    passages = named.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("passages"))
+    j = qa.select("query_id", "question", F.col("answer").alias("truth")).join(made, "query_id").join(passages, "query_id", "left")
+    with_truth = j.where("truth is not null")
+    parts = {"rouge1": F.avg("r.rouge1"), "rouge2": F.avg("r.rouge2"), "rougeL": F.avg("r.rougeL")}
+    scored = with_truth.withColumn("r", metrics.rouge(F.col("said"), F.col("truth")))
+    if judge is not None:
+        scored = scored.withColumn("b", metrics.embedding_score(F.col("said"), F.col("truth"), judge))
+        parts["bertscore_f1"] = F.avg("b.f1")
+    generation_row = scored.agg(*[c.alias(n) for n, c in parts.items()]).join(metrics.bleu(with_truth.select(F.col("query_id").alias("id"), F.col("said").alias("hypothesis"), F.col("truth").alias("reference"))).select("bleu"))
+    sc = metrics.answer_scores(F.col("question"), F.col("said"), F.coalesce("passages", F.array().cast("array<string>")), F.coalesce("truth", F.lit("")))
+    five = ("faithfulness", "relevance", "context_recall", "context_precision", "overall")
+    answers_row = j.select("verified", sc.alias("s")).agg(*[F.avg(f"s.{c}").alias(c) for c in five], F.avg("verified").alias("verified_faithfulness"))
+    for group, row in (("generation", generation_row), ("answers", answers_row)):
+        cols = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in row.columns]
+        out = out.unionByName(row.select(F.lit(group).alias("group"), F.explode(F.array(*cols)).alias("x")).select("group", "x.*"))
+    return out
+
+
+def benchmark(name: str, rows: DataFrame) -> DataFrame:
+    """Scores of predictions by the name of a benchmark: bioasq (type, predicted, gold), pubmedqa and medqa (predicted, gold), i2b2 (side ``predicted`` or ``gold``, doc_id, text, type)."""
+    if name == "bioasq":
+        return benchmarks.bioasq(rows)
+    if name == "pubmedqa":
+        return benchmarks.label_accuracy(rows.select("gold", benchmarks.answer_label(F.col("predicted")).alias("predicted")))
+    if name == "medqa":
+        return benchmarks.choice_accuracy(rows)
+    if name == "i2b2":
+        cols = ("doc_id", "text", "type")
+        return benchmarks.entity_prf(rows.where("side = 'predicted'").select(*cols), rows.where("side = 'gold'").select(*cols))
+    raise ValueError(f"unknown benchmark {name!r}")
+
+
+__all__ = ["Settings", "adverse_events", "answer", "benchmark", "benchmarks", "build_index", "evaluate", "ingest_articles", "ingest_notes", "literature_review", "load_index", "report"]

@@ -222,3 +222,42 @@ CHUNKS_SEMANTIC = f"""with recursive dl as materialized (select doc_id, {sql._bi
     from sn left join sm on sm.doc_id = sn.doc_id and sm.i = sn.i left join ct0 on ct0.doc_id = sn.doc_id),
   {_folded(_GROUPS, 128, 24, 10)}
   select key.d as doc_id, (row_number() over (partition by key.d order by key.g, k) - 1)::int as chunk_index, tokens as token_count, md5(t) as hash from ck"""
+
+# training pairs, further metrics ------------------------------------------------------------------
+
+CONTRASTIVE = f"""with ab as (select name, passage_id as doc_id, text from (select 'pmid_' || pmid as name, arg_max(abstract, rec_id) filter (abstract is not null) as text, max(rec_id) as passage_id from pubmed_abstracts where pmid is not null group by pmid) where text is not null and text <> ''),
+  tr as (select distinct item_id, doc_id from (select item_id, unnest(relevant_doc_ids) as name from eval_items where item_id % 20 = 0) join ab using (name)),
+  hw as (select 0 as side, doc_id as id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from ab union all select 1, item_id, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) from eval_items where item_id % 20 = 0),
+  hv as (select w, ('0x' || substr(md5(w), 1, 6))::int as h from (select distinct w from hw)),
+  hc as (select side, id, (h // 2) % 16 as c, sum(case when h % 2 = 0 then 1 else -1 end)::double as v from hw join hv using (w) group by 1, 2, 3),
+  hd as (select item_id, ab.doc_id, coalesce(s, 0) as score from (select item_id from eval_items where item_id % 20 = 0) cross join ab
+    left join (select a.id as qid, b.id as did, sum(a.v * b.v) as s from hc a join hc b on a.c = b.c where a.side = 1 and b.side = 0 group by 1, 2) on qid = item_id and did = ab.doc_id),
+  hr as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from hd),
+  ng as (select item_id, arg_min(doc_id, rank) as doc_id from hr where rank <= 30 and not exists (select 1 from tr where tr.item_id = hr.item_id and tr.doc_id = hr.doc_id) group by 1)
+  select md5(question) as query, md5(p.text) as positive, md5(n.text) as negative from tr join eval_items using (item_id) join ab p on p.doc_id = tr.doc_id
+    left join ng on ng.item_id = tr.item_id left join ab n on n.doc_id = ng.doc_id where question <> ''"""
+
+ROUGE_PLAIN = r"""with w as (select rec_id, regexp_extract_all(lower(title), '[\p{L}\p{N}]+') as a, regexp_extract_all(lower(abstract), '[\p{L}\p{N}]+') as b from pubmed_abstracts where title is not null and abstract is not null),
+  g as (select rec_id, 1 as k, 0 as side, unnest(a) as g from w union all select rec_id, 1, 1, unnest(b) from w
+    union all select rec_id, 2, 0, unnest(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1])) from w union all select rec_id, 2, 1, unnest(list_transform(range(1, len(b)), lambda i: b[i] || ' ' || b[i + 1])) from w),
+  c as (select rec_id, k, g, count(*) filter (side = 0) as x, count(*) filter (side = 1) as y from g group by 1, 2, 3),
+  m as (select rec_id, k, 2.0::double * sum(least(x, y)) / sum(x + y) as f from c group by 1, 2)
+  select rec_id, round(coalesce(any_value(f) filter (k = 1), 0.0), 6) as rouge1, round(coalesce(any_value(f) filter (k = 2), 0.0), 6) as rouge2 from w left join m using (rec_id) group by 1"""
+
+EMBEDDING_SCORE = r"""with w as (select rec_id, regexp_extract_all(lower(regexp_replace(title, '[^\x00-\x7F]', ' ', 'g')), '[a-z0-9]+') as a, regexp_extract_all(lower(regexp_replace(abstract, '[^\x00-\x7F]', ' ', 'g')), '[a-z0-9]+') as b
+    from pubmed_abstracts where title is not null and abstract is not null),
+  t as (select rec_id, 0 as side, unnest(a) as w from w union all select rec_id, 1, unnest(b) from w),
+  h as (select rec_id, side, ('0x' || substr(md5(w), 1, 6))::int % 32 as h from t),
+  s as (select rec_id, side, h, count(*) as n from h group by 1, 2, 3),
+  p as (select x.rec_id, x.side, (sum(case when y.h is not null then x.n else 0 end) / sum(x.n))::double as share from s x left join s y on x.rec_id = y.rec_id and x.side <> y.side and x.h = y.h group by 1, 2),
+  r as (select rec_id, coalesce(any_value(share) filter (side = 0), 0.0) as p, coalesce(any_value(share) filter (side = 1), 0.0) as q, len(a) > 0 and len(b) > 0 as ok from w left join p using (rec_id) group by rec_id, a, b)
+  select rec_id, round(case when ok then p else 0.0 end, 6) as precision, round(case when ok then q else 0.0 end, 6) as recall, round(case when ok and p + q > 0 then 2 * p * q / (p + q) else 0.0 end, 6) as f1 from r"""
+
+CLAIM_REPLIES = f"""with h as {sql._claims('item_id', 'passage', 'eval_items')}
+  select item_id as answer_id, unnest([0, 1])::int as claim_id, unnest([passage, 'second claim']) as claim from eval_items where item_id % 2 = 0 and trim(passage) <> ''
+  union all select item_id, 0, 'second claim' from eval_items where item_id % 2 = 0 and trim(passage) = ''
+  union all select answer_id, claim_id, claim from h where answer_id % 2 = 1"""
+
+LINKED = f"""with {_ENTITIES}, ky as (select name, count(distinct pmid) as score from (select pmid, unnest(keywords) as name from pubmed_abstracts where pmid is not null) where name is not null group by 1),
+  cc as (select n, c from (select lower(trim(name)) as n, {{'id': md5(name), 'name': upper(name)}} as c, row_number() over (partition by lower(trim(name)) order by score desc, md5(name) desc) as k from ky) where k = 1)
+  select doc_id, start, "end", type, c.id as concept_id, c.name as concept_name from en left join cc on n = lower(trim(text))"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -121,6 +123,21 @@ def by_mesh(articles: DataFrame, term: str, first: int | None = None, last: int
     return d.where(y.between(first, last)) if first and last else d
 
 
+# Descriptors by clinical domain.
+CLINICAL_DOMAINS = {
+    "cardiology": ("Atrial Fibrillation", "Heart Failure", "Myocardial Infarction", "Coronary Artery Disease", "Hypertension"),
+    "oncology": ("Breast Neoplasms", "Lung Neoplasms", "Colorectal Neoplasms", "Leukemia", "Lymphoma"),
+    "neurology": ("Alzheimer Disease", "Parkinson Disease", "Stroke", "Epilepsy", "Multiple Sclerosis"),
+    "pharmacology": ("Adverse Drug Reaction Reporting Systems", "Drug Interactions", "Drug Toxicity", "Pharmacokinetics"),
+    "ai_clinical": ("Artificial Intelligence", "Machine Learning", "Natural Language Processing", "Clinical Decision Support Systems", "Electronic Health Records"),
+}
+
+
+def by_domain(articles: DataFrame, domain: str, order: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Articles with a descriptor of a domain, each pmid once with the number of the first descriptor that fits as ``part``."""
+    return first_wins([by_mesh(articles, t, first, last) for t in CLINICAL_DOMAINS[domain]], "pmid", order)
+
+
 def first_wins(parts: list[DataFrame], key: str, order: str) -> DataFrame:
     """Union of several selections in which each ``key`` keeps the row of the first selection, there of the least ``order``.
 
@@ -195,3 +212,37 @@ def paged_source(search: Callable[[str], int], fetch: Callable[[str, int, int],
 def fresh(cache: DataFrame, hours: int = 72) -> DataFrame:
     """Rows of a response cache (key, body, fetched_at) that are not expired."""
     return cache.where(F.col("fetched_at") > F.current_timestamp() - F.expr(f"INTERVAL {hours} HOURS"))
+
+
+_CACHED = "key string, body string, fetched_at timestamp"
+
+
+def fetch_by_ids(ids: DataFrame, path: str, fetch: Callable[[list[str]], str], hours: int = 72, batch_size: int = 200, pause: float = 0.34) -> DataFrame:
+    """(pmid, xml) of a table of ids (pmid), from a response cache at ``path`` first.
+
+    Ids that the cache lacks, or whose entry is older than ``hours``, are fetched in batches (with growing
+    waits after errors) and appended to the cache, one entry per article, before the result is read from
+    it. Null and repeated ids count once; an id that the service does not know gives no row.
+    """
+    spark = ids.sparkSession
+    want = ids.where("pmid is not null").select(F.col("pmid").alias("key")).distinct()
+    try:
+        cache = fresh(spark.read.schema(_CACHED).parquet(path), hours)
+        cache.limit(1).count()
+    except AnalysisException:  # there is none yet
+        cache = spark.createDataFrame([], _CACHED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = with_retry(fetch)
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            for k in range(0, len(keys), batch_size):
+                time.sleep(pause)
+                yield pa.RecordBatch.from_arrays([pa.array([get(keys[k : k + batch_size])], pa.string())], names=["body"])
+
+    missing = want.join(cache, "key", "left_anti").repartition(max(1, spark.sparkContext.defaultParallelism))
+    articles = missing.mapInArrow(run, "body string").select(F.explode(split_set(F.col("body"))).alias("body"))
+    key = F.regexp_extract("body", r"<PMID[^>]*>\s*([^<\s]+)\s*</PMID>", 1)
+    articles.select(key.alias("key"), "body", F.current_timestamp().alias("fetched_at")).where("key != ''").write.mode("append").parquet(path)
+    newest = fresh(spark.read.schema(_CACHED).parquet(path), hours).groupBy("key").agg(F.max_by("body", "fetched_at").alias("xml"))
+    return newest.join(want, "key").select(F.col("key").alias("pmid"), "xml")
