@@ -239,27 +239,30 @@ def find_leaks(
     Words compare lower-cased and without accents; all else between them is ignored. Null or empty
     texts and passages, and passages under ``min_words`` words, give no row; repeated rows give repeated
     results; ids are bigints. Whole texts are indexed; there is no shuffle. The test items travel to
-    the tasks in blocks of at most ``BLOCK_BYTES``, each searched against all documents.
+    the tasks in blocks of at most ``BLOCK_BYTES``; a task searches its documents for one block after the other.
     """
     clean = items.where(F.col(passage).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(passage).alias("p"))
     bulk = clean.agg(F.sum(F.octet_length("p") + 16)).first()[0] or 0
     blocks = max(1, -(-bulk // BLOCK_BYTES))
-    d = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    out = None
+    context = docs.sparkSession.sparkContext
+    shared = []
     for k in range(blocks):
         mine = clean if blocks == 1 else clean.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
-        part = _find(d, [(r["i"], r["p"]) for r in mine.collect()], min_words)
-        out = part if out is None else out.unionByName(part)
-    return out
-
+        shared.append(context.broadcast([(r["i"], r["p"]) for r in mine.collect()]))
+    d = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    return _find(d, shared, min_words)
 
-def _find(d: DataFrame, items: list[tuple[int, str]], min_words: int) -> DataFrame:
-    shared = d.sparkSession.sparkContext.broadcast(items)
 
+def _find(d: DataFrame, shared: list, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(shared.value, min_words)
+        only = Phrases(shared[0].value, min_words) if len(shared) == 1 else None
 
         def shard(ids: list[int], texts: list[str]) -> Iterator[pa.RecordBatch]:
+            # a shard is read once, whatever the number of blocks
+            for block in shared:
+                yield from search(only or Phrases(block.value, min_words), ids, texts)
+
+        def search(phrases: Phrases, ids: list[int], texts: list[str]) -> Iterator[pa.RecordBatch]:
             rows: list[tuple] = []
             known: dict[int, list] = {}
             for n, item, ranges in phrases.leaks(texts):

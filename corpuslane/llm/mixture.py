@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,19 +18,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslane.session import materialize
+from corpuslane.session import materialize, release, small
 
-#: Rows of the histogram by which the rates are fitted on the driver, at most.
-HISTOGRAM_ROWS = 200_000
-#: Most sources a target table may name; keeps the driver's work and the broadcast small.
-MAX_SOURCES = 10_000
+#: Cells into which all sources' documents are sorted by their uniform numbers, at least ``LEAST_CELLS`` a source.
+HISTOGRAM_ROWS, LEAST_CELLS = 200_000, 64
+#: Bytes that a source's row of rates takes at most for each copy that its cap allows, and besides.
+RATE_BYTES = 16
 
 
 @dataclass(frozen=True)
 class Tokenizer:
     """A byte-level BPE vocabulary in tiktoken's rank format, and its splitting pattern.
 
-    Without a path the file comes from the installed package of public tokenizers.
+    ``path`` is the file; without one it is ``name`` in the folder that the variable TOKENIZERS names, else
+    in the folder of the module ``public_tokenizers``, if one is installed. No vocabulary is shipped here.
     """
 
     path: str | None = None
@@ -40,6 +42,8 @@ class Tokenizer:
         import tiktoken
 
         path = self.path
+        if path is None and os.environ.get("TOKENIZERS"):
+            path = os.path.join(os.environ["TOKENIZERS"], self.name)
         if path is None:
             import public_tokenizers
 
@@ -95,16 +99,16 @@ def fit_rate(u: np.ndarray, weight: np.ndarray, cap: int, goal: float) -> float:
 
 @dataclass
 class Plan:
-    """Fitted mixture: per source target, share among the sources that have text, cap, rate and thresholds."""
+    """Fitted mixture. ``rates``: per target source its share, its share among the sources that have text, cap, size, rate and thresholds."""
 
-    rows: list[tuple]
-    total_tokens: float
+    rates: DataFrame
     sizes: DataFrame
 
-    SCHEMA = "source string, target_share double, share_with_text double, max_repeats int, docs bigint, tokens bigint, rate double, thresholds array<double>"
-
     def table(self) -> DataFrame:
-        return self.sizes.sparkSession.createDataFrame(self.rows, self.SCHEMA)
+        return self.rates
+
+
+_RATES = "source string, target_share double, share_with_text double, max_repeats int, docs bigint, tokens bigint, rate double, thresholds array<double>"
 
 
 def _u(doc_id: str, seed: int):
@@ -120,43 +124,48 @@ def plan_mixture(
     Without ``total_tokens`` the sample is as large as the caps allow with every share met. With it, a
     source whose cap is too low for its share is repeated up to its cap and reported below its target.
     Sources without a target, or null, take no part; a target without documents cannot be met, and the
-    others keep their proportions. Targets with null or no share or cap count as 0.
+    others keep their proportions. Targets with null or no share or cap count as 0; of a source that is
+    named twice the larger share and cap count. There may be any number of sources: each is fitted in a
+    task of its own from a histogram of its documents, nothing but the total comes to the driver.
     """
-    want = {}
-    for r in targets.limit(MAX_SOURCES + 1).collect():
-        if r["source"] is not None:
-            want[r["source"]] = (max(0.0, r["target_share"] or 0.0), max(0, r["max_repeats"] or 0))
-    if len(want) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    spark = docs.sparkSession
-    names = F.broadcast(spark.createDataFrame([(k,) for k in want], "source string"))
+    want = (
+        targets.where("source is not null")
+        .groupBy("source")
+        .agg(F.greatest(F.max(F.coalesce("target_share", F.lit(0.0))), F.lit(0.0)).alias("share"), F.greatest(F.max(F.coalesce("max_repeats", F.lit(0))), F.lit(0)).cast("int").alias("cap"))
+    )
+    want = materialize(want, "targets")
+    named = want.agg(F.count("*").alias("n"), F.max("cap").alias("cap")).first()
     sizes = materialize(
         docs.where(F.col(text).isNotNull())
         .select(F.col(source).alias("source"), _u(doc_id, seed).alias("u"), F.col(text).alias("t"))
-        .join(names, "source")
+        .join(small(want.select("source"), 64), "source")
         .select("source", "u", token_count(F.col("t"), tokenizer).alias("tokens"))
         .where("tokens > 0"),
         "sizes",
     )
-    bins = max(16, HISTOGRAM_ROWS // max(1, len(want)))
-    cells = (
-        sizes.groupBy("source", F.floor(F.col("u") * bins).alias("bin"))
-        .agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"), F.avg("u").alias("u"))
-        .toPandas()  # at most sources times bins rows
+    bins = max(LEAST_CELLS, HISTOGRAM_ROWS // max(1, named["n"]))
+    cells = materialize(
+        sizes.groupBy("source", F.floor(F.col("u") * bins).alias("bin")).agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"), F.avg("u").alias("u")), "size-cells"
     )
-    by = dict(list(cells.groupby("source")))
-    there = {k: v for k, v in want.items() if k in by and v[0] > 0 and v[1] > 0}
-    whole = sum(v[0] for v in there.values())
-    most = min((int(by[k].tokens.sum()) * v[1] * whole / v[0] for k, v in there.items()), default=0.0)
-    total = most if total_tokens is None else float(total_tokens)
-    rows = []
-    for k, (share, cap) in want.items():
-        c = by.get(k)
-        part = share / whole if k in there else 0.0
-        rate = fit_rate(c.u.to_numpy(), c.tokens.to_numpy(float), cap, total * part) if k in there else 0.0
-        n, t = (int(c.docs.sum()), int(c.tokens.sum())) if c is not None else (0, 0)
-        rows.append((k, share, part, cap, n, t, rate, poisson_thresholds(rate, cap)))
-    return Plan(rows, total, sizes)
+    held = cells.groupBy("source").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("all_tokens"))
+    held = want.join(held, "source", "left").withColumn("there", (F.coalesce("all_tokens", F.lit(0)) > 0) & (F.col("share") > 0) & (F.col("cap") > 0))
+    sums = held.where("there").agg(F.sum("share").alias("whole"), F.min(F.col("all_tokens") * F.col("cap") / F.col("share")).alias("least")).first()
+    whole = sums["whole"] or 1.0
+    total = (sums["least"] or 0.0) * whole if total_tokens is None else float(total_tokens)
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        r = part.iloc[0]
+        share = r.share / whole if r.there else 0.0
+        rate = fit_rate(part.u.to_numpy(float), part.tokens.to_numpy(float), int(r.cap), total * share) if r.there else 0.0
+        n, t = (int(part.docs.sum()), int(part.tokens.sum())) if not math.isnan(part.tokens.sum()) else (0, 0)
+        row = (r.source, float(r.share), float(share), int(r.cap), n, t, rate, poisson_thresholds(rate, int(r.cap)))
+        return pd.DataFrame([row], columns=["source", "target_share", "share_with_text", "max_repeats", "docs", "tokens", "rate", "thresholds"])
+
+    joined = held.select("source", "share", "cap", "there").join(cells.select("source", "u", "docs", "tokens"), "source", "left").na.fill({"docs": 0, "tokens": 0, "u": 0.0})
+    rates = materialize(joined.groupBy("source").applyInPandas(fit, _RATES), "rates")
+    release(want, cells)
+    rates = small(rates, 64 + RATE_BYTES * (1 + (named["cap"] or 0)))
+    return Plan(rates, sizes)
 
 
 def _copies():
@@ -177,7 +186,7 @@ def mixture(
     plan = plan_mixture(docs, targets, doc_id, text, source, total_tokens, tokenizer, seed)
     new = ("copy", "n_tokens", "shuffle_key", "thresholds", "u")
     cols = [c for c in docs.columns if c not in new or c in (doc_id, text, source)]
-    rates = F.broadcast(plan.table().select(F.col("source").alias("_source"), "thresholds"))
+    rates = plan.table().select(F.col("source").alias("_source"), "thresholds")
     picked = (
         docs.where(F.col(text).isNotNull() & (F.col(text) != ""))
         .select(*[F.col(f"`{c}`") for c in cols], _u(doc_id, seed).alias("u"))
@@ -198,7 +207,7 @@ def mixture_shares(
     plan = plan_mixture(docs, targets, doc_id, text, source, total_tokens, tokenizer, seed)
     rates = plan.table()
     reached = (
-        plan.sizes.join(F.broadcast(rates.select("source", "thresholds")), "source")
+        plan.sizes.join(rates.select("source", "thresholds"), "source")
         .withColumn("n", _copies())
         .groupBy("source")
         .agg(F.sum(F.col("n") * F.col("tokens")).alias("reached_tokens"), F.max("n").alias("most_copies"), F.sum("n").alias("rows_out"))

@@ -68,6 +68,17 @@ SQL = {
       where d >= 2 and (1 + ln(n::double)) * ln(n_rec::double / d) >= 1.9 * ln(n_rec::double)
       union all
       select 'pubmed_abstracts', rec, item from mesh_terms join m using (item), km where d >= 2 and d::double * d * d * d <= n_rec""",
+    "p6_scores": f"""with {_MESH},
+      mf as (select pmid as id, item as term, min({{'r': rec_id, 'p': p}}) as place from (select pmid, rec_id, p, trim(regexp_replace(lower(replace(split_part(x, '/', 1), '*', '')), '\\s+', ' ', 'g')) as item
+        from (select pmid, rec_id, unnest(mesh_terms) as x, unnest(range(len(mesh_terms))) as p from pubmed_abstracts where pmid is not null)) where item <> '' group by 1, 2),
+      tp as (select 'chunks' as tbl, chunk_id as id, unnest(w) as term, unnest(range(len(w))) as pos from (select chunk_id, regexp_extract_all(lower(text), '[a-z]{{3,}}') as w from chunks where text is not null and chunk_id is not null)
+        union all select 'pubmed_abstracts', id, term, row_number() over (partition by id order by place, term) from mf),
+      dg as (select a.tbl, a.id, a.term, count(distinct b.term) as degree from tp a join tp b on a.tbl = b.tbl and a.id = b.id and b.pos between a.pos - 3 and a.pos + 3 and a.term <> b.term group by 1, 2, 3),
+      c as (select tbl, id, term, count(*) as n from tp group by 1, 2, 3),
+      f as (select tbl, term, count(*) as d from c group by 1, 2),
+      k as (select 'chunks' as tbl, count(*) as total from chunks where chunk_id is not null union all select 'pubmed_abstracts', count(distinct rec) from mesh_terms)
+      select tbl, id, term, n::int as n, coalesce(degree, 0)::int as degree, d, round(coalesce(degree, 0) * ln(total::double / d), 6) as score
+      from c join f using (tbl, term) join k using (tbl) left join dg using (tbl, id, term)""",
     "p7_found": """with recursive e as (select distinct subject_id as s, hadm_id as h from clinical_notes
         where subject_id is not null and subject_id <> 0 and hadm_id is not null and hadm_id <> 0),
       l as (select distinct a.s as x, b.s as y from e a join e b on a.h = b.h and a.s <> b.s),
