@@ -8,12 +8,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslane.session import materialize, release
+from corpuslane.session import BROADCAST_BYTES, materialize, release, small
 
+#: Bytes of a pointer in memory, and of pointers that are broadcast.
+POINTER_BYTES, LIMIT = 128, BROADCAST_BYTES
 #: Each round at least halves the components that still have an edge, so 64 rounds cover any table.
 MAX_ROUNDS = 64
 
 
+#: Values that hold more than 1/HOT of a table's rows, of which there are fewer than HOT.
+HOT = 1000
+
+
+def _meet(df: DataFrame, key: str, pointers: DataFrame, how: str = "inner") -> DataFrame:
+    """``df`` joined to the written table ``pointers`` (key, one more column; each key once).
+
+    Pointers that fit a broadcast are broadcast. Beyond, those of keys that hold many of the rows of ``df``,
+    a bounded number, still are, and only the other rows are shuffled by key, so that no root that has
+    gathered a large share of all rows makes one task of them.
+    """
+    hinted = small(pointers, POINTER_BYTES, LIMIT)
+    if hinted is not pointers:
+        return df.join(hinted, key, how)
+    total = df.count()
+    hot = materialize(df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * HOT > total).select(key), "hot-roots")
+    near = pointers.join(F.broadcast(hot), key, "left_semi")
+    rows = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    frequent = rows.where("_hot").drop("_hot").join(F.broadcast(near), key, how)
+    return frequent.unionByName(rows.where("_hot is null").drop("_hot").join(pointers, key, how))
+
+
 def spanning_forest(edges: DataFrame, name: str = "forest") -> tuple[DataFrame, DataFrame]:
     """Minimum spanning forest of the undirected graph ``edges`` (columns a, b of one type).
 
@@ -59,20 +83,19 @@ def spanning_forest(edges: DataFrame, name: str = "forest") -> tuple[DataFrame,
         release(choice)
         while True:
             up = ptr.select(F.col("r").alias("p"), F.col("p").alias("pp"))
-            far = materialize(ptr.join(up, "p").select("r", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), name + "-ptr")
+            far = materialize(_meet(ptr, "p", up).select("r", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), name + "-ptr")
             release(ptr)
             ptr = far.select("r", "p")
             ptr._scratch = far._scratch
             if far.where("moved").isEmpty():
                 break
         new_labels = materialize(
-            labels.join(ptr.withColumnRenamed("r", "root"), "root", "left").select("v", F.coalesce("p", "root").alias("root")), name + "-labels"
+            _meet(labels, "root", ptr.withColumnRenamed("r", "root"), "left").select("v", F.coalesce("p", "root").alias("root")), name + "-labels"
         )
         pa, pb = ptr.select(F.col("r").alias("ra"), F.col("p").alias("na")), ptr.select(F.col("r").alias("rb"), F.col("p").alias("nb"))
         nlo, nhi = F.least("na", "nb"), F.greatest("na", "nb")
         new_live = materialize(
-            live.join(pa, "ra")
-            .join(pb, "rb")
+            _meet(_meet(live, "ra", pa), "rb", pb)
             .where("na != nb")
             .groupBy(nlo.alias("ra"), nhi.alias("rb"))
             .agg(F.min(F.struct("a", "b")).alias("e"))

@@ -30,6 +30,16 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).drop("text")
 
 
+def p1_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the pieces of an item cover its text without a gap, and each keeps the limit."""
+    size = F.floor(F.regexp_count("piece", F.lit(split_items.WORD)) * F.lit(1.3))
+    g = _pieces(spark, d).groupBy("tbl", "item_id").agg(
+        F.array_sort(F.collect_list(F.struct("piece_index", "char_start", "char_end"))).alias("p"), F.max(size).alias("most"), F.first(F.length("text")).alias("n")
+    )
+    covered = F.aggregate("p", F.lit(0), lambda at, x: F.when((x["char_start"] <= at) & (x["char_end"] > at), x["char_end"]).otherwise(-1))
+    return g.select("tbl", "item_id", (covered == F.col("n")).alias("whole"), (F.col("most") <= 512).alias("within"))
+
+
 # 2 -----------------------------------------------------------------------------------------------
 
 
@@ -113,6 +123,16 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(_noted(spark, d), "text").select("tbl", "item_id", "redacted")
 
 
+def p5_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the text around the details, cut from the original, is what the redacted text holds around its placeholders."""
+    x = pii.redact(pii.with_details(_noted(spark, d).where("text is not null"), "text", "found"), "text")
+    ends = F.concat(F.array(F.lit(0)), F.transform("found", lambda k: k["end_char"]))
+    starts = F.concat(F.transform("found", lambda k: k["start_char"]), F.array(F.length("text")))
+    marks = F.concat(F.transform("found", lambda k: F.concat(F.lit("["), F.upper(k["kind"]), F.lit("]"))), F.array(F.lit("")))
+    around = F.zip_with(ends, starts, lambda a, b: F.substring(F.col("text"), a + 1, b - a))
+    return x.select("tbl", "item_id", (F.array_join(F.zip_with(around, marks, lambda a, b: F.concat(a, b)), "") == F.col("redacted")).alias("whole"))
+
+
 # 6 -----------------------------------------------------------------------------------------------
 
 WINDOW = 4
@@ -164,6 +184,15 @@ def p7_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(_t(spark, d, "clinical_notes"), {"train": 0.8, "validation": 0.1, "test": 0.1})
 
 
+def p7_together(spark: SparkSession, d: str) -> DataFrame:
+    """How many subjects and stays are torn apart, and whether the shares are met within a twentieth."""
+    x = p7_splits(spark, d).join(_t(spark, d, "clinical_notes").select("row_id", "subject_id", "hadm_id"), "row_id")
+    torn = [x.where(f"{c} is not null and {c} != 0").groupBy(c).agg((F.min("split") != F.max("split")).alias("t")).agg(F.count_if("t").alias(n)) for c, n in (("subject_id", "torn_subjects"), ("hadm_id", "torn_stays"))]
+    near = [F.abs(F.count_if(F.col("split") == k) / F.count("*") - v) <= 0.05 for k, v in (("train", 0.8), ("validation", 0.1), ("test", 0.1))]
+    total = x.agg(F.count("*").alias("rows"), (near[0] & near[1] & near[2]).alias("shares_met"))
+    return torn[0].join(torn[1]).join(total)  # one row each
+
+
 # 8 -----------------------------------------------------------------------------------------------
 
 
@@ -190,6 +219,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mixture_shares(_t(spark, d, "documents"), _t(spark, d, "mixture_targets"))
 
 
+def p9_caps(spark: SparkSession, d: str) -> DataFrame:
+    """Whether no row of a source is used more often than allowed."""
+    return p9_shares(spark, d).select("source", (F.col("most_copies") <= F.col("max_repeats")).alias("capped"))
+
+
 # 10 ----------------------------------------------------------------------------------------------
 
 
@@ -200,7 +234,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_groups, p4_found, p4_clusters, p5_found, p5_redacted, p6_found, p6_scores, p7_found, p7_splits,
-        p8_found, p8_spans, p9_mixture, p9_shares, p10_found,
+        p1_found, p1_pieces, p1_whole, p2_found, p2_pairs, p3_found, p3_groups, p4_found, p4_clusters, p5_found, p5_redacted, p5_whole, p6_found, p6_scores, p7_found, p7_splits, p7_together,
+        p8_found, p8_spans, p9_mixture, p9_shares, p9_caps, p10_found,
     )
 }

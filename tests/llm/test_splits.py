@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from corpuslane.llm import forest
 from corpuslane.llm.forest import dense_rank_by, spanning_forest
 from corpuslane.llm.splits import assign_splits, dealing_pattern, linked_subjects
 
@@ -26,8 +27,11 @@ def components(edges):
     return {frozenset(v) for v in out.values()}
 
 
+@pytest.mark.parametrize("limit", [forest.LIMIT, 0])  # pointers by broadcast, and frequent roots apart from the others
 @pytest.mark.parametrize("kind", ["random", "path", "star", "cycle"])
-def test_forest(spark, kind):
+def test_forest(spark, kind, limit, monkeypatch):
+    monkeypatch.setattr(forest, "LIMIT", limit)
+    monkeypatch.setattr(forest, "HOT", 5)
     rng = random.Random(4)
     n = 120
     edges = {
@@ -35,20 +39,20 @@ def test_forest(spark, kind):
         "star": [(0, i) for i in range(1, n)], "cycle": [(i, (i + 1) % n) for i in range(n)],
     }[kind]
     rows = [*edges, edges[0], (7, 7), (None, 3)]
-    forest, labels = spanning_forest(spark.createDataFrame(rows, "a bigint, b bigint"))
+    trees, labels = spanning_forest(spark.createDataFrame(rows, "a bigint, b bigint"))
     want = components([(a, b) for a, b in edges if a != b])
     got = defaultdict(set)
     for r in labels.collect():
         got[r["root"]].add(r["v"])
     assert {frozenset(v) for v in got.values()} == want and all(k in v for k, v in got.items())
-    f = [tuple(r) for r in forest.collect()]
+    f = [tuple(r) for r in trees.collect()]
     assert len(f) == sum(len(c) - 1 for c in want) and components(f) == want
     assert {frozenset(e) for e in f} <= {frozenset(e) for e in edges}
 
 
 def test_empty_forest(spark):
-    forest, labels = spanning_forest(spark.createDataFrame([], "a bigint, b bigint"))
-    assert forest.count() == 0 and labels.count() == 0
+    trees, labels = spanning_forest(spark.createDataFrame([], "a bigint, b bigint"))
+    assert trees.count() == 0 and labels.count() == 0
 
 
 def notes(n=3000, seed=2):
