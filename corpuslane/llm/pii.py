@@ -327,7 +327,7 @@ class Tagger:
         at = np.minimum(at, b - 1)
         e = np.zeros((n, m, N), np.float32)
         for k in range(len(REACH)):
-            e += self.types.table[k][x[at + k]]
+            e += self.types.table[k].take(x.take(at + k), axis=0)
         alive = [int(np.searchsorted(-size, -i, side="left")) for i in range(n)]  # stretches longer than i
         tr = np.ascontiguousarray(self.crf.trans.T)  # to x from
         score = e[0] + self.crf.first
@@ -400,6 +400,16 @@ def tidy(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     return (a, b) if b > a else None
 
 
+_TAGGERS: list[Tagger] = []
+
+
+def _kept(crf: Crf) -> Tagger:
+    """The worker's tagger for ``crf``, so that the next task finds the scores of tokens that it has seen."""
+    if not _TAGGERS or _TAGGERS[0].crf is not crf:
+        _TAGGERS[:] = [Tagger(crf)]
+    return _TAGGERS[0]
+
+
 _DETAILS = "array<struct<kind:string,start_char:int,end_char:int>>"
 _TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start_char", pa.int32()), ("end_char", pa.int32())]))
 
@@ -414,7 +424,7 @@ def with_details(df: DataFrame, text: str, out: str = "details") -> DataFrame:
 
     @F.arrow_udf(_DETAILS)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tagger = Tagger(shared.value)
+        tagger = _kept(shared.value)
         for batch in batches:
             rows = []
             for lo in range(0, len(batch), TEXTS):
