@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -84,26 +83,26 @@ def breakpoints(sents: DataFrame, key: str, pos: str, vec: str, percentile: floa
     return d.join(cut, key).withColumn("is_break", F.coalesce(F.col("sim") < F.col("_cut"), F.lit(False))).drop("_cut")
 
 
-def _groups(sentences: Column, model: Provider, percentile: float) -> Column:
-    """The sentences of a document in groups that end where the next sentence differs most: array of arrays."""
+def _breaks(sentences: Column, model: Provider, percentile: float) -> Column:
+    """After how many sentences of a document a group ends, because the next sentence differs most; the last end is the document's."""
 
-    @F.arrow_udf("array<array<string>>")
+    @F.arrow_udf("array<int>")
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            docs = [x or [] for x in b.to_pylist()]
-            flat = [s for x in docs for s in x]
+            sizes = np.diff(b.offsets.to_numpy())
+            flat = b.flatten().to_pylist()
             v = model.encode(flat).astype(np.float64) if flat else np.empty((0, 1))
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-8)
+            # rounded, so that equal similarities stay equal however they were added up
+            every = np.round((v[:-1] * v[1:]).sum(1), 9)
             out, at = [], 0
-            for x in docs:
-                u = v[at : at + len(x)]
-                at += len(x)
-                # rounded, so that equal similarities stay equal however they were added up
-                sim = np.round((u[:-1] * u[1:]).sum(1), 9)
-                ends = np.flatnonzero(sim < np.round(np.percentile(sim, 100 - percentile), 9)) + 1 if len(sim) else []
-                edges = [0, *ends, len(x)]
-                out.append([x[i:j] for i, j in pairwise(edges) if j > i])
-            yield pa.array(out, pa.list_(pa.list_(pa.string())))
+            for n in sizes.tolist():
+                sim = every[at : at + max(n - 1, 0)]
+                at += n
+                # two sentences differ from nothing else
+                ends = np.flatnonzero(sim < np.round(np.percentile(sim, 100 - percentile), 9)) + 1 if n > 2 else []
+                out.append([*map(int, ends), n])
+            yield pa.array(out, pa.list_(pa.int32()))
 
     return cut(sentences)
 
@@ -112,21 +111,24 @@ def semantic_chunks(docs: DataFrame, model: Provider, percentile: float = 85.0,
     """Chunks of (doc_id, text) cut where neighbouring sentences differ most in meaning.
 
     A break is where the cosine of two neighbours is below the document's (100 - ``percentile``)th
-    percentile. Documents under three sentences are chunked by sentences. Groups under ``min_tokens`` are
+    percentile. Documents under three sentences are one group. Groups under ``min_tokens`` are
     dropped, those over ``max_tokens`` are cut again by sentences. Result: doc_id, chunk_index, text,
-    token_count. A document is cut where it lies: no shuffle.
+    token_count. A document is cut where it lies: no shuffle. Sentences go to Python once, only the
+    places of the breaks come back.
     """
-    d = docs.where(F.col("text").isNotNull()).withColumn("_s", sentences_biomedical(F.col("text")))
-    few = sentence_chunks(d.where(F.size("_s") < 3).select("doc_id", "text"), max_tokens, overlap, min_tokens).select("doc_id", "chunk_index", "text")
-    g = d.where(F.size("_s") >= 3).select("doc_id", _groups(F.col("_s"), model, percentile).alias("g"))
+    d = docs.where(F.col("text").isNotNull()).select("doc_id", sentences_biomedical(F.col("text")).alias("_s"))
+    g = d.select("doc_id", "_s", _breaks(F.col("_s"), model, percentile).alias("_e"))
+    begins = F.concat(F.array(F.lit(0)), F.slice("_e", 1, F.size("_e") - 1))
 
     def pieces(ss: Column) -> Column:
         whole = F.array_join(ss, " ")
         again = F.transform(_fold(ss, max_tokens, overlap, min_tokens), lambda c: c["text"])
-        return F.when(token_estimate(whole) < min_tokens, F.array().cast("array<string>")).when(token_estimate(whole) <= max_tokens, F.array(whole)).otherwise(again)
+        size = token_estimate(whole)
+        return F.when(size < min_tokens, F.array().cast("array<string>")).when(size <= max_tokens, F.array(whole)).otherwise(again)
 
-    rows = g.select("doc_id", F.posexplode(F.flatten(F.transform("g", pieces))).alias("chunk_index", "text"))
-    return rows.unionByName(few).withColumn("token_count", token_estimate(F.col("text")))
+    groups = F.zip_with(begins, "_e", lambda a, e: F.slice("_s", a + 1, e - a))
+    rows = g.select("doc_id", groups.alias("g")).select("doc_id", F.posexplode(F.flatten(F.transform("g", pieces))).alias("chunk_index", "text"))
+    return rows.withColumn("token_count", token_estimate(F.col("text")))
 
 
 def section_chunks(sections: DataFrame, chunk_size: int = 384, overlap: int = 48, min_chunk_size: int = 50) -> DataFrame:

@@ -114,6 +114,14 @@ def release(*dfs: DataFrame) -> None:
             _written[:] = [x for x in _written if x[1] != path]
 
 
+def release_all(spark: SparkSession) -> None:
+    """Delete all tables that :func:`materialize` wrote in this session; results that still read them are lost."""
+    for s, path in list(_written):
+        if s is spark:
+            _delete(spark, path)
+    _written[:] = [x for x in _written if x[0] is not spark]
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows times ``row_bytes`` fit ``limit``, else as it is.
 
