@@ -25,7 +25,7 @@ HOT = 2000
 _SENTENCE_END = re.compile(r"(?<=[.!?…])[\"')\]”»]*\s+|\n+|<br\s*/?>|</p>", re.I)
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _LINK = re.compile(
-    r"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|test|invalid|com|net|org|info|shop|biz|co|io|eu|de|fr|es)\b(?:\s*-\s*[^\n]{0,60}?(?=\s+[\w-]+\.[a-z]{3,}\b|\n|$))?",
+    r"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.(?-i:[a-z]{2,})\b(?:\s*-\s*[^\n]{0,60}?(?=\s+[\w-]+\.[a-z]{3,}\b|\n|$))?",
     re.I | re.S,
 )
 _TAG = re.compile(r"(?<!\S)#[^\s#]+")
@@ -50,21 +50,29 @@ _BLOCKS = "doc_id bigint, host string, n_chars int, chars int, dense double, var
 
 def _exempt(line: str) -> bool:
     """Whether a line belongs to a table, a reference list, a glossary or a medication list."""
-    if "\t" in line and not _LINK.search(line) and not _TAG.search(line):
+    low = line.lower()
+    listed = _may_link(line, low) and _LINK.search(line) or "#" in line and _TAG.search(line)
+    if "\t" in line and not listed:
         return True
     if _REFERENCE.match(line) or _YEAR_PAGES.search(line):
         return True
-    if _PRODUCT.search(line) or _LINK.search(line) or _TAG.search(line):
+    if listed or _may_sell(low) and _PRODUCT.search(line):
         return False
     return bool(_DOSE.search(line) or line.count(" - ") < 2 and _GLOSSARY.match(line))
 
 
-_ODD = re.compile(r"[|#<\[/;$€£]|\.[\w-]|\d[.,]\d\d|www")
+_DOMAIN = re.compile(r"[\w-]\.[a-z]{2}")
+_PRICE = re.compile(r"[$€£]|\d[.,]\d\d")
 
 
-def _may_be_listed(low: str) -> bool:
-    """False only where no match of ``_LINK``, ``_TAG`` or ``_PRODUCT`` and no separator that is counted can be."""
-    return bool(_ODD.search(low)) or "sku" in low or "ref" in low or "art" in low or "item" in low
+def _may_link(seg: str, low: str) -> bool:
+    """False only where ``_LINK`` cannot match."""
+    return "http" in low or "www." in low or "<a" in low or "](" in low or bool(_DOMAIN.search(seg))
+
+
+def _may_sell(low: str) -> bool:
+    """False only where ``_PRODUCT`` cannot match."""
+    return "sku" in low or "ref" in low or "art" in low or "item" in low or bool(_PRICE.search(low))
 
 
 def _sentence(seg: str) -> bool:
@@ -72,16 +80,18 @@ def _sentence(seg: str) -> bool:
     low = seg.lower()
     w = _WORD.findall(low)
     distinct = len(set(w))
-    if _may_be_listed(low):
+    if _may_link(seg, low):
         if "http" in seg or "www." in seg:
             # a sentence that names a source
             own = _WORD.findall(_LINK.sub(" ", seg).lower())
             if len(own) >= 4 and seg.rstrip()[-1:] in ".!?…" and len(set(own)) >= 0.8 * len(own) and not _FUNCTION.isdisjoint(own):
                 return True
-        if _LINK.search(seg) and len(_LINK.sub("", seg)) < len(seg) / 2 or len(_TAG.findall(seg)) * 3 > len(w):
-            return False
-        if len(_PRODUCT.findall(seg)) * 8 > len(w) or seg.count("|") * 4 > len(w) or seg.count(";") * 5 > len(w) or seg.count("/") * 4 > len(w):
+        if _LINK.search(seg) and len(_LINK.sub("", seg)) < len(seg) / 2:
             return False
+    if "#" in seg and len(_TAG.findall(seg)) * 3 > len(w) or _may_sell(low) and len(_PRODUCT.findall(seg)) * 8 > len(w):
+        return False
+    if seg.count("|") * 4 > len(w) or seg.count(";") * 5 > len(w) or seg.count("/") * 4 > len(w):
+        return False
     if len(w) < 4 or distinct < 0.6 * len(w) and len(w) > 12:
         return False
     if len(w) > 80 and distinct < 0.5 * len(w):

@@ -63,12 +63,13 @@ def test_tabs_and_short_pages(spark):
 
 
 def test_quick_exit_changes_nothing(monkeypatch):
-    """The patterns that ``_may_be_listed`` skips match nothing, over a whole table."""
+    """The patterns that ``_may_link`` and ``_may_sell`` skip match nothing, over a whole table."""
     path = "/root/testdata/sf0.01/documents.parquet"
     if not os.path.exists(path):
         pytest.skip("no test tables here")
     segs = [t[a:b] for t in pd.read_parquet(path, columns=["text"]).text.dropna() for a, b in spam._split(t)]
     segs += [t[a:b] for t in (SPAM | FINE).values() for a, b in spam._split(t)]
-    quick = [spam._sentence(s) for s in segs]
-    monkeypatch.setattr(spam, "_may_be_listed", lambda low: True)
-    assert quick == [spam._sentence(s) for s in segs]
+    quick = [(spam._sentence(s), spam._exempt(s)) for s in segs]
+    monkeypatch.setattr(spam, "_may_link", lambda seg, low: True)
+    monkeypatch.setattr(spam, "_may_sell", lambda low: True)
+    assert quick == [(spam._sentence(s), spam._exempt(s)) for s in segs]
