@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslane.functions import text as tx
-from corpuslane.operators import benchmarks, chunking, deid, dense, embedding, generation, metrics, ner, relations, retrieval, sections, sparse, verification
+from corpuslane.operators import benchmarks, chunking, deid, dense, embedding, generation, metrics, ner, relations, retrieval, sections, sparse, tables, verification
 from corpuslane.plans import sql, sql_text
 from corpuslane.session import materialize, scratch_root, spread, table
 from corpuslane.sources import files, pubmed
@@ -665,6 +665,42 @@ def sessions(s: SparkSession, d: str) -> DataFrame:
     return audit.sessions(table(s, d, "events"))
 
 
+@query("""select e.row_id, r.value, r.event_type from (select event_id as row_id, user_id, ts from events where event_type = 'purchase') e
+  asof left join (select user_id, ts, max({'v': value, 't': event_type}) as m from events where event_type <> 'purchase' group by 1, 2) x on e.user_id = x.user_id and e.ts >= x.ts, lateral (select m.v as value, m.t as event_type) r""")
+def events_asof(s: SparkSession, d: str) -> DataFrame:
+    """Each purchase with the latest other event of its user."""
+    e = table(s, d, "events")
+    left = e.where("event_type = 'purchase'").select(F.col("event_id").alias("row_id"), "user_id", "ts")
+    right = e.where("event_type != 'purchase'").select("user_id", "ts", "value", "event_type")
+    return tables.asof_join(left, right, "user_id", "ts", ["value", "event_type"]).select("row_id", "value", "event_type")
+
+
+@query("select event_type, count(*) as n, true as distinct_near, true as quantiles_near from events group by 1")
+def events_profile(s: SparkSession, d: str) -> DataFrame:
+    """Whether approximate distinct counts and quantiles lie near the exact ones, by event type."""
+    e = table(s, d, "events")
+    exact = e.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.percentile("value", [0.45, 0.55, 0.88, 0.92]).alias("q"))
+    p = tables.profile(e, "event_type", "value", distinct=F.col("user_id")).join(exact, "event_type")
+    near = (F.abs(F.col("distinct_values") - F.col("users")) <= 1 + 0.1 * F.col("users")).alias("distinct_near")
+    within = F.col("quantiles")[0].between(F.col("q")[0], F.col("q")[1]) & F.col("quantiles")[1].between(F.col("q")[2], F.col("q")[3])
+    return p.select("event_type", "n", near, within.alias("quantiles_near"))
+
+
+@query("select user_id, count(*) as n, round(sum(coalesce(value, 0)), 6) as total from events group by 1")
+def stream_state(s: SparkSession, d: str) -> DataFrame:
+    """The events replayed as a stream with state per user: the last row that each user sent out."""
+    batch = table(s, d, "events")
+    where = f"{scratch_root(s)}/state-{uuid.uuid4().hex}"
+    stream = s.readStream.schema(batch.schema).parquet(f"{d}/events.parque[t]")
+    q = (
+        audit.running_totals(stream).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", where + "/state")
+        .foreachBatch(lambda df, i: df.write.mode("append").parquet(where + "/out")).start()
+    )
+    q.awaitTermination()
+    g = s.read.parquet(where + "/out").groupBy("user_id").agg(F.max_by("total", "n").alias("total"), F.max("n").alias("n"))
+    return g.select("user_id", "n", F.round("total", 6).alias("total"))
+
+
 @query("select date_trunc('day', ts) as window_start, event_type, count(*) as n from events group by 1, 2")
 def stream_counts(s: SparkSession, d: str) -> DataFrame:
     """The events replayed as a stream: the last state of every daily window."""
