@@ -24,5 +24,5 @@ def test_runs(name, spark):
 
 @pytest.mark.parametrize(("name", "branches"), [("p1_found", 3), ("p1_pieces", 3), ("p5_found", 1), ("p5_redacted", 1)])
 def test_python_runs_once_per_text(spark, name, branches):
-    plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == branches
