@@ -80,7 +80,7 @@ def gazetteer(docs: DataFrame, terms: DataFrame) -> DataFrame:
     known = None
     if (size["bytes"] or 0) <= DICTIONARY_BYTES:
         known = docs.sparkSession.sparkContext.broadcast(frozenset(r["run"] for r in t.select("run").distinct().collect()))
-    else:
+    elif DICTIONARY_BYTES:
         known = docs.sparkSession.sparkContext.broadcast(_filter(t))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,11 +109,12 @@ def gazetteer(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return runs.join(t, "run").select("doc_id", "type", "text", "start", "end", F.lit(1.0).alias("confidence"))
 
 
-def tag(docs: DataFrame, model: Callable[[list[str]], list[list[tuple[str, str, int, int, float]]]], batch: int = 64) -> DataFrame:
+def tag(docs: DataFrame, model: Callable[[list[str]], list[list[tuple[str, str, int, int, float]]]], batch: int = 64, failed: bool = False) -> DataFrame:
     """Entities of a model that maps texts to lists of (text, label, start, end, confidence), ``batch`` texts at a time.
 
-    If a call fails, its texts are tried one by one; a text on which the model fails alone gives one row
-    of type ``FAILED`` with a null text, so that failures can be counted (:func:`failures`).
+    If a call fails, its texts are tried one by one; a text on which the model fails alone gives no entities
+    or, with ``failed``, one row of type ``FAILED`` with a null text, so that failures can be counted
+    (:func:`failures`).
     """
     kind = pa.list_(pa.struct([("text", pa.string()), ("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())]))
     names = ("text", "label", "start", "end", "confidence")
@@ -135,7 +136,9 @@ def tag(docs: DataFrame, model: Callable[[list[str]], list[list[tuple[str, str,
             found = [x for k in range(0, len(texts), batch) for x in ask(texts[k : k + batch])]
             yield pa.array([[dict(zip(names, x, strict=True)) for x in f] for f in found], kind)
 
+    # the failures leave after the model ran: it is not asked again
     e = docs.select("doc_id", run.asNondeterministic()(F.col("text")).alias("_found")).select("doc_id", F.explode("_found").alias("x"))
+    e = e if failed else e.where("x.label != 'FAILED'")
     return e.select("doc_id", entity_type(F.col("x.label")).alias("type"), "x.text", "x.start", "x.end", "x.confidence")
 
 

@@ -54,7 +54,8 @@ def test_tagger_batches_and_failures(spark):
         return [[(w, "CHEMICAL", 0, len(w), 0.9) for w in t.split()[:1]] for t in texts]
 
     df = spark.createDataFrame([(i, t) for i, t in enumerate(["aspirin now", "bad", None, "", "heparin"])], "doc_id int, text string").coalesce(1)
-    out = ner.tag(df, model)
+    out = ner.tag(df, model, failed=True)
+    assert ner.tag(df, model).count() == 2
     rows = sorted((r["doc_id"], r["type"], r["text"]) for r in out.where("type != 'FAILED'").collect())
     assert rows == [(0, "DRUG", "aspirin"), (4, "DRUG", "heparin")]
     assert ner.failures(out).first()["failed"] == 1 and ner.tag(df.limit(0), model).count() == 0
