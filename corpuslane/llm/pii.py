@@ -194,7 +194,9 @@ def fit(data: list[tuple[list[str], list[int]]], rounds: int = 60, l2: float = 0
     # features of all types in one list; the last type stands for what is outside a text and has none
     feat = np.array([x for f in feats for x in f])
     type_ = np.repeat(np.arange(len(types)), [len(f) for f in feats])
-    begin = np.concatenate(([0], np.cumsum([len(f) for f in feats])))[:-1]
+    slots = np.full((max(map(len, feats)), len(types)), len(index))  # the k-th feature of each type
+    for k, f in enumerate(feats):
+        slots[: len(f), k] = f
     order = sorted(range(len(ids)), key=lambda k: -len(ids[k]))
     d, nf, nt = len(REACH), len(index), len(types)
     nw = d * nf * N
@@ -220,14 +222,19 @@ def fit(data: list[tuple[list[str], list[int]]], rounds: int = 60, l2: float = 0
 
     def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
         w, t = p[:nw].reshape(d, nf, N).astype(np.float32), p[nw:].reshape(N, N).astype(np.float32)
+        rows = np.zeros((nf + 1, d * N), np.float32)  # the last feature stands for none
+        rows[:-1] = w.transpose(1, 0, 2).reshape(nf, d * N)
+        of_type = rows.take(slots[0], axis=0)
+        for slot in slots[1:]:
+            of_type += rows.take(slot, axis=0)
         table = np.zeros((d, nt + 1, N), np.float32)  # distances x types x labels
-        table[:, :-1] = np.add.reduceat(w[:, feat], begin, axis=1)
+        table[:, :-1] = of_type.reshape(nt, d, N).transpose(1, 0, 2)
         ex = np.exp(t + allowed)
         value, gt, by_type = 0.0, np.zeros((N, N)), np.zeros((d, N, nt + 1))
         for b, n, x, live, mask, gold in parts:
             e = np.zeros((b, n, N), np.float32)
             for k in range(d):
-                e += table[k][x[:, k : k + n]]
+                e += table[k].take(x[:, k : k + n], axis=0)
             # scaled forward and backward passes
             top = e.max(2)
             ee = np.exp(e - top[..., None])
