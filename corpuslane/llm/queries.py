@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +13,12 @@ from corpuslane.llm import cooccur, distinct_terms, leakage, mixture, names, nea
 from corpuslane.session import table as _t
 
 
+def _side_by_side(build: Callable[[str], DataFrame], names: tuple[str, ...]) -> list[DataFrame]:
+    """The results of ``build`` for all names; the tables that they write on the way are written at the same time."""
+    with ThreadPoolExecutor(len(names)) as pool:
+        return list(pool.map(inheritable_thread_target(build), names))
+
+
 # 1 -----------------------------------------------------------------------------------------------
 
 
@@ -45,11 +55,8 @@ def p1_whole(spark: SparkSession, d: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, d: str, least: int) -> DataFrame:
     p = _t(spark, d, "pubmed_abstracts")
-    out = None
-    for field in ("mesh_terms", "keywords"):
-        one = cooccur.cooccurrence(cooccur.record_items(p, "pmid", field), least).withColumn("field", F.lit(field))
-        out = one if out is None else out.unionByName(one)
-    return out
+    a, b = _side_by_side(lambda f: cooccur.cooccurrence(cooccur.record_items(p, "pmid", f), least).withColumn("field", F.lit(f)), ("mesh_terms", "keywords"))
+    return a.unionByName(b)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -96,12 +103,12 @@ def _variants(spark: SparkSession, d: str, field: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    a, j = (names.variant_pairs(_variants(spark, d, f)).select(F.lit(f).alias("field"), "name_a", "name_b") for f in ("authors", "journal"))
+    a, j = _side_by_side(lambda f: names.variant_pairs(_variants(spark, d, f)).select(F.lit(f).alias("field"), "name_a", "name_b"), ("authors", "journal"))
     return a.unionByName(j)
 
 
 def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
-    a, j = (_variants(spark, d, f).select(F.lit(f).alias("field"), "name", "cluster") for f in ("authors", "journal"))
+    a, j = _side_by_side(lambda f: _variants(spark, d, f).select(F.lit(f).alias("field"), "name", "cluster"), ("authors", "journal"))
     return a.unionByName(j)
 
 
