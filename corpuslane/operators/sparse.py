@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslane.functions.text import bm25_tokens
@@ -39,11 +42,34 @@ class SparseIndex:
         return from_postings(self.postings.unionByName(postings(docs)), self.stats.select("n_docs").join(_doc_count(docs)).select((F.col("n_docs") + F.col("n_new")).alias("n_docs")))
 
 
+_COUNTED = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
+
+
+def _counted(words: Column) -> Column:
+    """The distinct words of each list with their numbers."""
+
+    @F.arrow_udf("array<struct<term:string,tf:int>>")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            row = np.repeat(np.arange(len(b)), np.diff(b.offsets.to_numpy()))
+            enc = b.flatten().dictionary_encode()
+            v = max(len(enc.dictionary), 1)
+            key, n = np.unique(row * v + enc.indices.to_numpy().astype(np.int64), return_counts=True)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(key // v, minlength=len(b))))).astype(np.int32)
+            cells = pa.StructArray.from_arrays([enc.dictionary.take(pa.array(key % v)), pa.array(n.astype(np.int32))], names=["term", "tf"])
+            yield pa.ListArray.from_arrays(pa.array(ends), cells).cast(_COUNTED)
+
+    return count(words)
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, dl) of (doc_id, text); dl is the document's number of tokens. One shuffle, pre-aggregated."""
+    """(term, doc_id, tf, dl) of (doc_id, text), each doc_id once; dl is the document's number of tokens.
+
+    A document's tokens are counted where it lies, in Arrow batches: no shuffle.
+    """
     t = docs.where(F.col("text").isNotNull()).select("doc_id", bm25_tokens(F.col("text")).alias("w"))
-    e = t.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return e.groupBy("term", "doc_id", "dl").agg(F.count("*").cast("int").alias("tf")).select("term", "doc_id", "tf", "dl")
+    e = t.select("doc_id", F.size("w").alias("dl"), _counted(F.col("w")).alias("c")).select("doc_id", "dl", F.explode("c").alias("x"))
+    return e.select("x.term", "doc_id", "x.tf", "dl")
 
 
 def _doc_count(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 #: Bytes up to which :func:`small` lets a side be broadcast. Larger sides take the shuffle join.
 BROADCAST_BYTES = 8 << 20
 
+_shipping = threading.Lock()
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -43,15 +45,16 @@ def build_session(app: str = "corpuslane", master: str | None = None, **conf: st
 def ship(spark: SparkSession) -> None:
     """Send this package to the session's Python workers, once per context, wherever they run."""
     sc = spark.sparkContext
-    if getattr(sc, "_corpuslane_shipped", False):
-        return
-    here = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="corpuslane-")) / "corpuslane_code.zip"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(here.rglob("*.py")):
-            z.write(f, f.relative_to(here.parent))
-    sc.addPyFile(str(path))
-    sc._corpuslane_shipped = True
+    with _shipping:  # queries may be built in several threads
+        if getattr(sc, "_corpuslane_shipped", False):
+            return
+        here = Path(__file__).resolve().parent
+        path = Path(tempfile.mkdtemp(prefix="corpuslane-")) / "corpuslane_code.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(here.rglob("*.py")):
+                z.write(f, f.relative_to(here.parent))
+        sc.addPyFile(str(path))
+        sc._corpuslane_shipped = True
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -73,9 +76,12 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="corpuslane-")
-    spark.conf.set("spark.checkpoint.dir", "file://" + root)
-    return "file://" + root
+    with _shipping:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            root = "file://" + tempfile.mkdtemp(prefix="corpuslane-")
+            spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
